@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, simhash, tokenstore
+from . import bpe, chat, langid, packing, quality, simhash, substrings, tokenstore
 from .common import shared_path, table
 
 #: The pattern, ranks and vocabularies that the queries use.
@@ -45,6 +45,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids.select("doc_id", "ids"), RANKS, PATTERN))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checked(packing.pack(table(spark, sf_dir, "documents"), PIECES, PATTERN, end_id=0))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op7_substrings": op7_substrings,
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
     "op10_langid": op10_langid,
