@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialised
@@ -58,15 +58,7 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp (long, the 64 bits as signed)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in batches:
-            for a in range(0, full.num_rows, 512):
-                batch = full.slice(a, 512)
-                fps = np.array([fingerprint(t or "", shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "fp", "text", shingle, seed).select("doc_id", "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -268,13 +260,44 @@ def components(edges: DataFrame, finish: int = FINISH_EDGES) -> DataFrame:
     return labels.join(ends.select(F.col("node").alias("root"), F.col("root").alias("r")), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
 
 
+def with_fingerprint(df: DataFrame, name: str = "fp", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Append the fingerprint of ``text`` as ``name`` (long) to all columns of ``df``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            for a in range(0, full.num_rows, 512):
+                batch = full.slice(a, 512)
+                fps = np.array([fingerprint(t or "", shingle, seed) for t in batch.column(text).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, name])
+
+    kept = df.drop(name)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    return kept.mapInArrow(run, ", ".join([*fields, f"`{name}` long"]))
+
+
+def least_of_components(fps: DataFrame, value: str, max_bits: int = MAX_BITS, agree: int = 1) -> DataFrame:
+    """(fp, root, least): the component of every distinct ``fp`` and the least
+    ``value`` (not null first) among the rows of its component."""
+    distinct = materialised(fps.groupBy("fp").agg(F.min(value).alias("own")), "simhash-distinct")
+    roots = materialised(components(links(distinct.select("fp"), max_bits, agree)), "simhash-roots")
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("own").alias("least"))
+    return named.select("fp", "root").join(least, "root")
+
+
+def one_of_each(df: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, agree: int = 1) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the row of
+    least doc_id stays, of equal ids one."""
+    rows = with_fingerprint(df.withColumn("_uid", F.monotonically_increasing_id()), "_fp", text, shingle)
+    rows = materialised(rows, "simhash-rows")
+    named = rows.select(F.col("_fp").alias("fp"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid").alias("at"))
+    stay = least_of_components(named, "at", max_bits, agree).select(F.col("least._uid").alias("_uid")).distinct()
+    return rows.join(stay, "_uid", "left_semi").drop("_uid", "_fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, agree: int = 1, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the least doc_id reachable."""
     fps = materialised(fingerprints(docs, shingle, seed), "simhash-fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = materialised(distinct, "simhash-distinct")
-    roots = materialised(components(links(distinct.select("fp"), max_bits, agree)), "simhash-roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.withColumn("component_id", F.min("least").over(Window.partitionBy("root"))).select("fp", "component_id")
+    least = least_of_components(fps, "doc_id", max_bits, agree).select("fp", F.col("least").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return fps.join(least, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
