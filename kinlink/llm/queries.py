@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, simhash, substrings, tokenstore
+from . import audio, bpe, chat, langid, packing, quality, simhash, substrings, tokenstore, urlfilter
 from .common import shared_path, table
 
 #: The pattern, ranks and vocabularies that the queries use.
@@ -16,6 +16,11 @@ RANKS, PIECES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.tiktok
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.evaluate(urlfilter.capture_times(pages), urlfilter.sample_entries(pages))
+
+
 #: A conversation whose texts hold the template's own control strings.
 TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -45,6 +50,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids.select("doc_id", "ids"), RANKS, PATTERN))
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.search(audio.fingerprints(audio.recordings(table(spark, sf_dir, "embeddings"))))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -60,13 +69,15 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_audio": op6_audio,
     "op7_substrings": op7_substrings,
     "op8_packing": op8_packing,
     "op9_token_store": op9_token_store,
     "op10_langid": op10_langid,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_filter": urlfilter.ORACLE, "op2_chat_format": chat.ORACLE}
