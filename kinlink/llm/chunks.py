@@ -8,11 +8,15 @@ chunk's ids looked up; texts with other white space take the exact pattern.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from itertools import chain
+from unicodedata import is_normalized
+
+import regex
 
 #: Entries of one generation of a memo, and the longest key it keeps.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
+MEMO_ENTRIES, WORD_ENTRIES, MEMO_CHARS = 250_000, 400_000, 48
 
 
 class Memo(dict):
@@ -37,13 +41,19 @@ class Memo(dict):
 class ChunkEncoder:
     """Ids of whole texts.  bare: ids of a string; spaced: ids of a string with
     a blank before it; newline: those of one newline between two characters;
-    odd: ids of a text with other white space."""
+    odd: ids of a text with other white space; fold: a text of the same ids
+    with fewer different words, or None to treat it as odd."""
 
-    def __init__(self, bare, spaced, newline: tuple[int, ...], odd: Callable[[str], Iterable[int]]):
-        self.bare, self.newline, self.odd = Memo(bare), newline, odd
+    def __init__(self, bare, spaced, newline: tuple[int, ...], odd: Callable[[str], Iterable[int]], fold: Callable[[str], str | None] | None = None):
+        self.bare, self.newline, self.odd, self.fold = Memo(bare, MEMO_ENTRIES if newline else WORD_ENTRIES), newline, odd, fold
         self.spaced = self.bare if spaced is bare else Memo(spaced)
 
     def encode(self, text: str) -> list[int]:
+        if self.fold is not None:
+            folded = self.fold(text)
+            if folded is None:
+                return list(self.odd(text))
+            text = folded
         words = text.split()
         if " ".join(words) != text.replace("\n", " "):  # other white space, or a run of it
             return list(self.odd(text))
@@ -78,7 +88,14 @@ def piece_encoder(pattern, piece: Callable[[str], tuple[int, ...]]) -> ChunkEnco
     def ids(text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(memo.__getitem__, pattern.findall(text))))
 
-    return ChunkEncoder(ids, lambda t: ids(" " + t), ids("\n"), ids)
+    def spaced(text: str) -> tuple[int, ...]:
+        if text.isalpha():  # one match with the blank
+            return memo[" " + text]
+        if text[-1:] in (".", ",") and text[:-1].isalpha():
+            return memo[" " + text[:-1]] + memo[text[-1]]
+        return ids(" " + text)
+
+    return ChunkEncoder(ids, spaced, ids("\n"), ids)
 
 
 def byte_level_encoder(tok, pattern) -> ChunkEncoder:
@@ -92,24 +109,35 @@ def byte_level_encoder(tok, pattern) -> ChunkEncoder:
     return piece_encoder(pattern, piece)
 
 
+def lowered(text: str) -> str | None:
+    """The lower-case text where that is the same for whole texts and single
+    characters, and canonical composition changes neither; else None."""
+    low = text.lower()
+    if text.isascii() or ("\u03a3" not in text and "\u0130" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)):
+        return low
+    return None
+
+
 def word_encoder(tok) -> ChunkEncoder:
-    """A ChunkEncoder over a tokenizers.Tokenizer that normalises, discards
-    white space and never joins a letter to a full stop or comma."""
-    model, normal = tok.model, tok.normalizer.normalize_str
+    """A ChunkEncoder over a tokenizers.Tokenizer that composes, lower-cases,
+    discards white space and never joins a letter to a full stop or comma."""
+    model = tok.model
+    splits = [p["pattern"]["Regex"] for p in json.loads(tok.to_str())["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+    pattern = regex.compile(splits[0])
 
     def whole(text: str) -> tuple[int, ...]:
         return tuple(tok.encode(text, add_special_tokens=False).ids)
 
-    def word(text: str) -> tuple[int, ...]:
-        if text.isalpha() and (low := normal(text)).isalpha():
-            return tuple([t.id for t in model.tokenize(low.encode().decode("latin-1").translate(SYMBOLS))])
-        return whole(text)
+    def match(text: str) -> tuple[int, ...]:
+        return tuple([t.id for t in model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(SYMBOLS))])
 
-    memo = Memo(word)
+    memo = Memo(match, WORD_ENTRIES)
 
     def ids(text: str) -> tuple[int, ...]:
+        if text.isalpha():
+            return match(text)
         if text[-1:] in (".", ",") and text[:-1].isalpha():
             return memo[text[:-1]] + memo[text[-1]]
-        return memo[text]
+        return tuple(chain.from_iterable(map(memo.__getitem__, pattern.findall(text))))
 
-    return ChunkEncoder(ids, ids, (), whole)
+    return ChunkEncoder(ids, ids, (), whole, lowered)
