@@ -17,6 +17,7 @@ empty tables give an empty store; further columns of the input aren't read.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -102,6 +103,8 @@ def encoder(path: str) -> ChunkEncoder:
     return word_encoder(quiet_tokenizer(path))
 
 
+#: Shards up to which their offsets are broadcast.
+SMALL_SHARDS = 100_000
 STORE = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, data binary"
 
 
@@ -127,7 +130,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
                 for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    found = np.array([*enc(t), end_id], np.uint32)
+                    found = np.frombuffer(array("I", enc(t) + [end_id]), np.uint32)
                     ids.append(found)
                     docs_.append(d)
                     lengths.append(len(found))
@@ -149,7 +152,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     bases = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
     firsts = store.select("part", "seq", inside.alias("inside")).join(bases, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("first"))
-    return store.join(firsts, ["part", "seq"])
+    small = firsts.limit(SMALL_SHARDS + 1).count() <= SMALL_SHARDS  # else the shards are shuffled
+    return store.join(F.broadcast(firsts) if small else firsts, ["part", "seq"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
