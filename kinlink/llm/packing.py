@@ -13,6 +13,7 @@ doc_id, then start; empty tables give no pieces; further columns aren't read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -81,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, seque
             for a in range(0, full.num_rows, 256):
                 batch, out = full.slice(a, 256), []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.array([*enc(t), end_id], "<u4")
+                    ids = np.frombuffer(array("I", enc(t) + [end_id]), "<u4")
                     out += [(d, s, min(sequence, len(ids) - s), len(ids), ids[s : s + sequence].tobytes()) for s in range(0, len(ids), sequence)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
