@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,31 @@ LENGTH, GRAM = 50, 16
 DEAL_BYTES, BUCKET_BYTES, SHARD_BYTES, INDEX_BYTES = 6 << 20, 12 << 20, 4 << 20, 1 << 20
 FLUSH_BYTES = 12 << 20
 LAST = np.iinfo(np.int64).max
+#: Anchors have 48 bits: two that are equal by chance only cost work.
+MASK, ANCHOR_BYTES = np.uint64((1 << 48) - 1), 6
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Anchors as bytes."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // ANCHOR_BYTES, 8), np.uint8)
+    out[:, :ANCHOR_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, ANCHOR_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def joined(column: pa.ChunkedArray, squeezed_: bool = True) -> bytes:
+    """The bytes of all rows of a column, one after the other."""
+    if not squeezed_:
+        return b"".join(column.to_pylist())
+    back = zstandard.ZstdDecompressor()
+    return b"".join(back.decompress(x) for x in column.to_pylist())
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -61,6 +87,7 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
+    h &= MASK
     width, want = 1, length - gram + 1
     while 2 * width <= want:
         h = np.minimum(h[:-width], h[width:])
@@ -178,7 +205,7 @@ def _shared(rows: DataFrame, buckets: int) -> DataFrame:
             bucket = (v % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             b, cut = np.unique(bucket[order], return_index=True)
-            parts = [(v[x].astype("<u8").tobytes(), d[x].astype("<i4").tobytes()) for x in np.split(order, cut[1:])]
+            parts = [(packed(v[x]), squeezed(d[x].astype("<i4").tobytes())) for x in np.split(order, cut[1:])]
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "v", "d"])
 
         held = 0
@@ -198,8 +225,8 @@ def _shared(rows: DataFrame, buckets: int) -> DataFrame:
             yield flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        v = np.frombuffer(b"".join(group.column("v").to_pylist()), "<u8")
-        d = np.frombuffer(b"".join(group.column("d").to_pylist()), "<i4")
+        v = unpacked(joined(group.column("v"), False))
+        d = np.frombuffer(joined(group.column("d")), "<i4")
         order = np.lexsort((d, v))
         v, d = v[order], d[order]
         next_ = v[1:] == v[:-1]
@@ -209,7 +236,7 @@ def _shared(rows: DataFrame, buckets: int) -> DataFrame:
         v, d = v[once], d[once]
         order = np.argsort(d, kind="stable")
         deals, cut = np.unique(d[order], return_index=True)
-        return pa.table({"deal": pa.array(deals, pa.int32()), "found": pa.array([v[x].tobytes() for x in np.split(order, cut[1:])] if len(deals) else [], pa.binary())})
+        return pa.table({"deal": pa.array(deals, pa.int32()), "found": pa.array([packed(v[x]) for x in np.split(order, cut[1:])] if len(deals) else [], pa.binary())})
 
     noted = rows.select("deal", "data").mapInArrow(note, "bucket int, v binary, d binary")
     return noted.groupBy("bucket").applyInArrow(meet, "deal int, found binary")
@@ -227,7 +254,7 @@ def _segments(rows: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
     """(shard, deal, v, lengths, least, greatest, data): the distinct segments of a deal by shard."""
 
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
-        known = np.unique(np.frombuffer(b"".join(found.column("found").to_pylist()), "<u8"))
+        known = np.unique(unpacked(joined(found.column("found"), False)))
         seen: dict[bytes, list[int]] = {}
         if len(known):
             ids = _numbers(docs.column("doc_id"))
@@ -246,18 +273,19 @@ def _segments(rows: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
         if not seen:
             return pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int32()] * 2 + [pa.binary()] * 5, strict=True)})
         keys = list(seen)
-        numbers = np.array([[v & LAST, v >> 63, a, b] for v, a, b in seen.values()], np.int64)
-        v = numbers[:, 0].astype(np.uint64) | (numbers[:, 1].astype(np.uint64) << np.uint64(63))
-        shard = ((v >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+        numbers = np.array(list(seen.values()), np.int64)
+        v = numbers[:, 0].astype(np.uint64)
+        shard = ((v >> np.uint64(12)) % np.uint64(shards)).astype(np.int32)
         order = np.lexsort((v, shard))
         each, first = np.unique(shard[order], return_index=True)
         parts = np.split(order, first[1:])
         deal = docs.column("deal")[0].as_py()
         pack = lambda f: pa.array([f(x) for x in parts], pa.binary())
-        return pa.table([pa.array(each, pa.int32()), pa.array([deal] * len(each), pa.int32()), pack(lambda x: v[x].astype("<u8").tobytes()), pack(lambda x: np.array([len(keys[i]) for i in x], "<i4").tobytes()), pack(lambda x: numbers[x, 2].astype("<i8").tobytes()), pack(lambda x: numbers[x, 3].astype("<i8").tobytes()), pack(lambda x: b"".join(keys[i] for i in x))], names=names)
+        columns = [pack(lambda x: packed(v[x])), pack(lambda x: squeezed(np.array([len(keys[i]) for i in x], "<i4").tobytes())), *(pack(lambda x, k=k: squeezed(numbers[x, k].astype("<i8").tobytes())) for k in (1, 2)), pack(lambda x: squeezed(b"".join(keys[i] for i in x)))]
+        return pa.table([pa.array(each, pa.int32()), pa.array([deal] * len(each), pa.int32()), *columns], names=names)
 
     out = "shard int, deal int, v binary, lengths binary, least binary, greatest binary, data binary"
-    return rows.select("deal", "doc_id", "data").groupBy("deal").cogroup(shared.groupBy("deal")).applyInArrow(cut, out)
+    return rows.groupBy("deal").cogroup(shared.groupBy("deal")).applyInArrow(cut, out)
 
 
 def _answers(segments: DataFrame) -> DataFrame:
@@ -265,12 +293,11 @@ def _answers(segments: DataFrame) -> DataFrame:
     something, its digest and the runs of least doc_ids over its strings."""
 
     def index(group: pa.Table) -> pa.Table:
-        joined = {c: b"".join(group.column(c).to_pylist()) for c in ("v", "lengths", "least", "greatest", "data")}
-        v, lengths = np.frombuffer(joined["v"], "<u8"), np.frombuffer(joined["lengths"], "<i4").astype(np.int64)
-        least, greatest = np.frombuffer(joined["least"], "<i8"), np.frombuffer(joined["greatest"], "<i8")
-        deals = np.repeat(_numbers(group.column("deal")), [len(x) // 8 for x in group.column("v").to_pylist()])
+        v, lengths = unpacked(joined(group.column("v"), False)), np.frombuffer(joined(group.column("lengths")), "<i4").astype(np.int64)
+        least, greatest = (np.frombuffer(joined(group.column(c)), "<i8") for c in ("least", "greatest"))
+        deals = np.repeat(_numbers(group.column("deal")), [len(x) // ANCHOR_BYTES for x in group.column("v").to_pylist()])
         ends = np.cumsum(lengths)
-        data = joined.pop("data")
+        data = joined(group.column("data"))
         distinct: dict[bytes, int] = {}
         of, anchor, low = np.empty(len(v), np.int64), [], []
         for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
@@ -297,16 +324,16 @@ def _answers(segments: DataFrame) -> DataFrame:
             a = b
         floor = np.array([x.min() for x in answer], np.int64)
         live = np.flatnonzero(floor[of] < greatest)
-        packed: dict[int, list] = {}
+        replies: dict[int, list] = {}
         short = [None] * len(keys)
         for i in live.tolist():
             k = int(of[i])
             if short[k] is None:
                 x = answer[k]
                 s, e = runs(x)
-                short[k] = (int(anchor[k]).to_bytes(8, "little"), xxhash.xxh128_digest(keys[k]), len(s), (e - s).astype("<i4").tobytes(), x[s].astype("<i8").tobytes())
-            packed.setdefault(int(deals[i]), []).append(short[k])
-        rows_ = [(d, *(b"".join(r[j] for r in x) for j in (0, 1)), np.array([r[2] for r in x], "<i4").tobytes(), *(b"".join(r[j] for r in x) for j in (3, 4))) for d, x in packed.items()]
+                short[k] = (int(anchor[k]).to_bytes(ANCHOR_BYTES, "little"), xxhash.xxh128_digest(keys[k]), len(s), (e - s).astype("<i4").tobytes(), x[s].astype("<i8").tobytes())
+            replies.setdefault(int(deals[i]), []).append(short[k])
+        rows_ = [(d, *(b"".join(r[j] for r in x) for j in (0, 1)), *map(squeezed, (np.array([r[2] for r in x], "<i4").tobytes(), *(b"".join(r[j] for r in x) for j in (3, 4))))) for d, x in replies.items()]
         names, kinds = ["deal", "v", "key", "sizes", "widths", "docs"], [pa.int32()] + [pa.binary()] * 5
         return pa.table({n: pa.array([r[j] for r in rows_], t) for j, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
@@ -338,8 +365,8 @@ def dedup(docs: DataFrame, text: str = "text", whole_characters: bool = False) -
     others = [f for f in base.schema.fields if f.name != text]
 
     def apply(group: pa.Table, found: pa.Table) -> pa.Table:
-        cat = {c: b"".join(found.column(c).to_pylist()) for c in ("v", "key", "sizes", "widths", "docs")}
-        known = np.unique(np.frombuffer(cat["v"], "<u8"))
+        cat = {c: joined(found.column(c), c not in ("v", "key")) for c in ("v", "key", "sizes", "widths", "docs")}
+        known = np.unique(unpacked(cat["v"]))
         sizes, widths, least = np.frombuffer(cat["sizes"], "<i4"), np.frombuffer(cat["widths"], "<i4"), np.frombuffer(cat["docs"], "<i8")
         to = np.cumsum(sizes).tolist()
         place = {cat["key"][16 * i : 16 * i + 16]: i for i in range(len(sizes))}
