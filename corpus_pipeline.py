@@ -43,9 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document of smaller doc_id has; n_chars follows."""
-    cut = substrings.dedup(_rows(docs, "doc_id", "text"), whole_characters=True)
+    others = F.struct(*(F.col(c) for c in docs.columns if c != "text"))  # the text is sent once
+    cut = substrings.dedup(docs.select(others.alias("_row"), "doc_id", "text"), whole_characters=True)
     new = {"text": F.decode("kept", "UTF-8"), "n_chars": F.length(F.decode("kept", "UTF-8")).cast("long")}
-    return cut.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    return cut.select(*((new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
