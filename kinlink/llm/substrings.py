@@ -312,6 +312,12 @@ def _answers(segments: DataFrame) -> DataFrame:
         keys, low, anchor = list(distinct), np.array(low, np.int64), np.array(anchor, np.uint64)
         answer: list[np.ndarray] = [None] * len(keys)  # type: ignore[list-item]
         order = np.argsort(anchor, kind="stable")
+        # The strings of an anchor's only segment are in no other segment.
+        near = anchor[order][1:] == anchor[order][:-1]
+        alone = ~np.concatenate([[False], near]) & ~np.concatenate([near, [False]])
+        for i in order[alone].tolist():
+            answer[i] = np.full(len(keys[i]) - LENGTH + 1, low[i])
+        order = order[~alone]
         sizes = np.array([len(keys[i]) for i in order], np.int64)
         a = 0
         while a < len(order):  # whole anchors, about INDEX_BYTES at a time
