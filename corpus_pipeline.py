@@ -38,7 +38,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: the least doc_id."""
-    return simhash.one_of_each(_rows(docs, "doc_id", "text"), "text", SHINGLE, MAX_BITS, AGREE).select("_row.*")
+    others = F.struct(*(F.col(c) for c in docs.columns if c != "text"))  # the text is written once
+    stay = simhash.one_of_each(docs.select(others.alias("_row"), "doc_id", "text"), "text", SHINGLE, MAX_BITS, AGREE)
+    return stay.select(*((F.col("text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
