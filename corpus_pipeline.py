@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import langid, packing, quality, queries, simhash, substrings
+from kinlink.llm import langid, packing, quality, queries, shingles, substrings
 from kinlink.llm.common import materialised, table
 
-#: Near-duplicates: words of a shingle, differing bits of a link, and blocks
-#: in which linked fingerprints of the index agree.
+#: Near-duplicates: words of a shingle, differing bits of the index's candidates,
+#: and blocks in which their fingerprints agree.  Texts decide (shingles.SIMILAR).
 SHINGLE, MAX_BITS, AGREE = 5, 8, 2
 
 
@@ -39,7 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: the least doc_id."""
     others = F.struct(*(F.col(c) for c in docs.columns if c != "text"))  # the text is written once
-    stay = simhash.one_of_each(docs.select(others.alias("_row"), "doc_id", "text"), "text", SHINGLE, MAX_BITS, AGREE)
+    stay = shingles.one_of_each(docs.select(others.alias("_row"), "doc_id", "text"), "text", SHINGLE, MAX_BITS, AGREE)
     return stay.select(*((F.col("text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 

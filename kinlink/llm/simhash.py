@@ -285,16 +285,6 @@ def least_of_components(fps: DataFrame, value: str, max_bits: int = MAX_BITS, ag
     return named.select("fp", "root").join(least, "root")
 
 
-def one_of_each(df: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, agree: int = 1) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component the row of
-    least doc_id stays, of equal ids one."""
-    rows = with_fingerprint(df.withColumn("_uid", F.monotonically_increasing_id()), "_fp", text, shingle)
-    rows = materialised(rows, "simhash-rows")
-    named = rows.select(F.col("_fp").alias("fp"), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_uid").alias("at"))
-    stay = least_of_components(named, "at", max_bits, agree).select(F.col("least._uid").alias("_uid")).distinct()
-    return rows.join(stay, "_uid", "left_semi").drop("_uid", "_fp")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, agree: int = 1, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the least doc_id reachable."""
     fps = materialised(fingerprints(docs, shingle, seed), "simhash-fps")
