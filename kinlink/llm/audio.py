@@ -4,12 +4,13 @@ A recording (WAV bytes) becomes frames of 12 pitch-class energies; filters
 over an integral image of the frames give two bits each, FILTERS of them an
 unsigned 32-bit integer for each frame.  Two recordings are aligned by the
 histogram of the offsets between equal codes (their leading ALIGN_BITS bits);
-at the fullest offset the share of differing bits over the overlap tells
-whether they match.
+the share of differing bits over the overlap tells whether they match, at the
+fullest offset that passes.
 
 Searches take the recordings whose id is divisible by QUERY_EVERY, in blocks
-of about BLOCK, against all rows: a block's fingerprints are broadcast, and
-every row keeps its best match, so neither rows nor pairs gather anywhere.
+of about BLOCK, against all rows: a block's fingerprints are broadcast.  A row
+has all its matches as one list, the best first, so no table of pairs is made;
+the lists of a group of copies still hold copies x queries entries.
 
 Defined results: null, undecodable or too short recordings have no codes and
 no match; a recording isn't matched with its own id; ties go to the smaller
@@ -38,6 +39,7 @@ SPAN = max(f[3] for f in FILTERS)
 THRESHOLD = 0.1
 ALIGN_BITS, MIN_VOTES, MIN_OVERLAP, MAX_ERRORS = 20, 3, 16, 0.25
 QUERY_EVERY, BLOCK = 100, 1024
+MATCHES = pa.list_(pa.struct([("errors", pa.float64()), ("id", pa.int64()), ("offset", pa.int64())]))
 
 
 def read_wave(data: bytes | None) -> np.ndarray | None:
@@ -127,33 +129,39 @@ class Searcher:
         order = np.argsort(flat, kind="stable")
         self.keys, self.owner, self.place = flat[order], owner[order], place[order]
 
-    def best(self, id_: int | None, mine: np.ndarray) -> tuple[int, int, float] | None:
-        """(query id, offset of this recording in the query, share of differing bits)."""
+    def matches(self, id_: int | None, mine: np.ndarray) -> list[tuple[float, int, int]]:
+        """(share of differing bits, query id, offset of this recording in the
+        query) of every query that matches, the best first."""
         key = mine >> np.uint32(32 - ALIGN_BITS)
         a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
         n = b - a
         if not n.sum():
-            return None
+            return []
         at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
         wide = 1 << 32
         votes, counts = np.unique(self.owner[at] * wide + (self.place[at] - np.repeat(np.arange(len(mine)), n)) + wide // 2, return_counts=True)
+        votes, counts = votes[counts >= MIN_VOTES], counts[counts >= MIN_VOTES]
         owner, offset = votes // wide, votes % wide - wide // 2
         order = np.lexsort((offset, -counts, owner))
-        first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
-        found = None
-        for i in first[counts[first] >= MIN_VOTES].tolist():
-            q, theirs = self.queries[owner[i]]
-            if q == id_:
+        found, done = [], -1
+        for k, o in zip(owner[order].tolist(), offset[order].tolist(), strict=True):
+            q, theirs = self.queries[k]
+            if k == done or q == id_:
                 continue
-            o = int(offset[i])
             x, y = theirs[max(0, o) :], mine[max(0, -o) :]
             m = min(len(x), len(y))
             if m < MIN_OVERLAP:
                 continue
             errors = float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32 * m)
-            if errors <= MAX_ERRORS and (found is None or (errors, q, o) < (found[2], found[0], found[1])):
-                found = (q, o, errors)
-        return found
+            if errors <= MAX_ERRORS:
+                found.append((errors, q, o))
+                done = k
+        return sorted(found)
+
+    def best(self, id_: int | None, mine: np.ndarray) -> tuple[int, int, float] | None:
+        """(query id, offset, share of differing bits) of the best match."""
+        found = self.matches(id_, mine)
+        return (found[0][1], found[0][2], found[0][0]) if found else None
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
@@ -170,8 +178,9 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 
 
 def search(prints: DataFrame) -> DataFrame:
-    """vec_id, n_codes, codes_crc32 and the best match among the queries of
-    ``prints`` (a written table): match_id, match_offset, match_errors."""
+    """vec_id, n_codes, codes_crc32, the best match among the queries of
+    ``prints`` (a written table): match_id, match_offset, match_errors; and all
+    of them, the best first: n_matches, matches (errors, id, offset)."""
     rows = materialised(prints.withColumn("uid", F.monotonically_increasing_id()), "audio-prints")
     wanted = rows.where((F.col("vec_id") % QUERY_EVERY == 0) & (F.octet_length("codes") > 0))
     blocks = max(1, -(-wanted.count() // BLOCK))
@@ -183,15 +192,19 @@ def search(prints: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(handle.value)
             for batch in batches:
-                found = [(u, m) for u, i, c in zip(*(batch.column(x).to_pylist() for x in ("uid", "vec_id", "codes")), strict=True) if (m := searcher.best(i, np.frombuffer(c, "<u4"))) is not None]
-                kinds = [("uid", pa.int64(), lambda r: r[0]), ("match_id", pa.int64(), lambda r: r[1][0]), ("match_offset", pa.int64(), lambda r: r[1][1]), ("match_errors", pa.float64(), lambda r: r[1][2])]
-                yield pa.RecordBatch.from_arrays([pa.array([f(r) for r in found], t) for _, t, f in kinds], names=[n for n, _, _ in kinds])
+                for a in range(0, batch.num_rows, 256):  # bounded memory for long lists
+                    some = batch.slice(a, 256)
+                    found = [(u, m) for u, i, c in zip(*(some.column(x).to_pylist() for x in ("uid", "vec_id", "codes")), strict=True) if (m := searcher.matches(i, np.frombuffer(c, "<u4")))]
+                    lists = pa.array([[dict(zip(("errors", "id", "offset"), x, strict=True)) for x in m] for _, m in found], MATCHES)
+                    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), lists], names=["uid", "part"])
 
-        part = rows.mapInArrow(run, "uid long, match_id long, match_offset long, match_errors double")
+        part = rows.mapInArrow(run, "uid long, part array<struct<errors: double, id: bigint, offset: bigint>>")
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy("uid").agg(F.min(F.struct("match_errors", "match_id", "match_offset")).alias("m"))
-    joined = rows.join(best, "uid", "left")
-    return joined.select("vec_id", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.crc32("codes").alias("codes_crc32"), "m.match_id", "m.match_offset", "m.match_errors")
+    every = out.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("matches"))
+    joined = rows.join(every, "uid", "left").withColumn("m", F.get("matches", F.lit(0)))
+    best = [F.col("m.id").alias("match_id"), F.col("m.offset").alias("match_offset"), F.col("m.errors").alias("match_errors")]
+    every = [F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"), F.coalesce("matches", F.array().cast(out.schema["part"].dataType)).alias("matches")]
+    return joined.select("vec_id", (F.octet_length("codes") / 4).cast("long").alias("n_codes"), F.crc32("codes").alias("codes_crc32"), *best, *every)
 
 
 def synthesise(vector: list[float] | None, turn: int) -> bytes | None:
