@@ -129,7 +129,8 @@ def word_encoder(tok) -> ChunkEncoder:
         return tuple(tok.encode(text, add_special_tokens=False).ids)
 
     def match(text: str) -> tuple[int, ...]:
-        return tuple([t.id for t in model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(SYMBOLS))])
+        plain = text.isascii() and text.isalnum()  # control characters aren't their own symbols
+        return tuple([t.id for t in model.tokenize(text if plain else text.encode().decode("latin-1").translate(SYMBOLS))])
 
     memo = Memo(match, WORD_ENTRIES)
 
