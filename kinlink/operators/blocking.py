@@ -43,11 +43,15 @@ def channel_keys(records: DataFrame, distinct: bool) -> DataFrame:
     return rows.select("entity_id", "country", "c.channel", F.explode("c.keys").alias("key"))
 
 
+def most_frequent(pool_rows: DataFrame) -> DataFrame:
+    """The records that a token may have, max(200, 0.5 % of the pool): one row, most."""
+    return pool_rows.select(F.greatest(F.lit(MIN_FREQUENCY), F.floor(F.count(F.lit(1)) * MAX_SHARE)).alias("most")).limit(1)
+
+
 def limited(keys: DataFrame, pool_rows: DataFrame) -> DataFrame:
     """Without the tokens that more than max(200, 0.5 %) of the pool has."""
-    most = pool_rows.select(F.greatest(F.lit(MIN_FREQUENCY), F.floor(F.count(F.lit(1)) * MAX_SHARE)).alias("most"))
     token = F.col("channel").isin("name_tokens", "addr_tokens")
-    often = keys.where(token).groupBy("channel", "country", "key").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(most.limit(1))).where(F.col("n") > F.col("most"))
+    often = keys.where(token).groupBy("channel", "country", "key").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(most_frequent(pool_rows))).where(F.col("n") > F.col("most"))
     return keys.join(often.select("channel", "country", "key"), ["channel", "country", "key"], "left_anti")
 
 

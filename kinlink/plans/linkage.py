@@ -10,17 +10,16 @@ from ..functions.features import featurize, jaccard
 from ..operators import blocking, decide, exclusive, metrics, model
 from ..sources.stage import staged
 
-FREQUENT = 200
 
-
-def simple_candidates(s1: DataFrame, pool: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """Pairs that share a country and a token that at most ``most`` pool
-    records of the country have, with token similarities.  Tokens are dropped
-    by count before the join, so a token makes at most ``most`` pairs a record."""
+def simple_candidates(s1: DataFrame, pool: DataFrame) -> DataFrame:
+    """B13 with B8: pairs that share a country and a token that at most
+    max(200, 0.5 % of the pool) records of the country have, with token
+    similarities.  Tokens are dropped by count before the join."""
     prepared = lambda d: d.select("entity_id", "country", text.simple_tokens(F.col("name")).alias("nt"), text.simple_tokens(F.col("address")).alias("at"))
     a, b = prepared(s1), prepared(pool)
     keys = lambda d, name: d.select(F.col("entity_id").alias(name), "country", F.explode(F.array_union("nt", "at")).alias("token"))
-    rare = keys(b, "c").groupBy("country", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).drop("n")
+    rare = keys(b, "c").groupBy("country", "token").agg(F.count(F.lit(1)).alias("n"))
+    rare = rare.join(F.broadcast(blocking.most_frequent(pool))).where(F.col("n") <= F.col("most")).drop("n", "most")
     right = keys(b, "cand_id").join(rare, ["country", "token"], "left_semi")
     pairs = keys(a, "s1_id").join(right, ["country", "token"]).select("s1_id", "cand_id", "country").distinct()
     one = a.select(F.col("entity_id").alias("s1_id"), F.col("nt").alias("n1"), F.col("at").alias("a1"))
