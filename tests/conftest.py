@@ -31,13 +31,20 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def duck():
+def duck_tables():
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
     return con
 
 
+@pytest.fixture
+def duck(duck_tables):
+    """A connection of each test's own: a result left open bothers no other test."""
+    with duck_tables.cursor() as con:
+        yield con
+
+
 @pytest.fixture(scope="session")
 def data():
     return DATA
