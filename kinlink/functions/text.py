@@ -58,21 +58,72 @@ VOWEL_SIGNS = {"ा": "a", "ि": "i", "ी": "i", "ु": "u", "ू": "u", "े"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+# Latin letters that have no decomposition, lower case.
+LATIN = {"æ": "ae", "œ": "oe", "ø": "o", "ß": "ss", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ħ": "h", "ı": "i", "ŋ": "ng", "ŧ": "t", "ĸ": "k", "ſ": "s", "ə": "e", "ƒ": "f"}
+
+# Greek and Cyrillic letters in Latin, lower case.
+GREEK = {"α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o"}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
+    "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    "ђ": "dj", "є": "ye", "і": "i", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz", "ґ": "g",
+}
+LETTERS = LATIN | GREEK | CYRILLIC
+
+
+def indic_letter(c: str) -> tuple[str, bool] | None:
+    """The Latin form of an Indic letter or sign from its Unicode name, and
+    whether it replaces the inherent vowel before it; None for other characters."""
+    if not "\u0900" <= c <= "\u0dff":
+        return None
+    if c in DEVANAGARI:
+        return DEVANAGARI[c], False
+    name = unicodedata.name(c, "")
+    if "VIRAMA" in name or "AL-LAKUNA" in name:
+        return "", True
+    if " VOWEL SIGN " in name:
+        return VOWEL_SIGNS.get(c, name.rsplit(" ", 1)[1].lower()), True
+    if " DIGIT " in name:
+        return str(unicodedata.digit(c)), False
+    if " SIGN ANUSVARA" in name or " SIGN CANDRABINDU" in name:
+        return "n", False
+    if " SIGN VISARGA" in name:
+        return "h", False
+    return (name.rsplit(" ", 1)[1].lower(), False) if " LETTER " in name else ("", False)
+
+
 def transliterated(text: str) -> str:
-    """N2 of a string: a consonant's vowel gives way to a vowel sign."""
+    """N2 of a string: a consonant's vowel gives way to a vowel sign.  Indic
+    scripts other than Devanagari go by the names of their letters."""
     out: list[str] = []
     for c in text:
-        if c in VOWEL_SIGNS:
-            if out and out[-1].endswith("a"):
-                out[-1] = out[-1][:-1]
-            out.append(VOWEL_SIGNS[c])
-        else:
-            out.append(DEVANAGARI.get(c, c))
+        found = indic_letter(c)
+        if found is None:
+            out.append(c)
+            continue
+        if found[1] and out and out[-1].endswith("a"):
+            out[-1] = out[-1][:-1]
+        out.append(found[0])
     return "".join(out)
 
 
+def latin_letter(c: str) -> str:
+    """A letter in Latin; one of a script without a table stays as it is."""
+    if c < "\u0080":
+        return c
+    low = c.lower()
+    found = LETTERS.get(low)
+    if found is None:
+        return c if c.isalpha() or c.isdigit() else ""
+    return found if c == low else found.capitalize()
+
+
 def plain_latin(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", transliterated(text)) if not unicodedata.combining(c) and ord(c) < 128)
+    """N13 of a string: signs dropped, letters in Latin.  Letters of scripts
+    without a table (Chinese, Arabic and others) are kept, so that no name is lost."""
+    known = "".join(latin_letter(c) if c.lower() in CYRILLIC else c for c in transliterated(text))
+    plain = "".join(c for c in unicodedata.normalize("NFKD", known) if not unicodedata.combining(c))
+    return "".join(map(latin_letter, plain))
 
 
 def composed(text: str) -> str:
@@ -101,7 +152,7 @@ def normalize_unicode(text: Column) -> Column:
 
 
 def to_ascii(text: Column) -> Column:
-    """Devanagari transliterated, accents dropped, the rest left out."""
+    """Indic, Greek and Cyrillic letters in Latin, accents dropped, other scripts kept."""
     return _unless_ascii(text, plain_latin)
 
 

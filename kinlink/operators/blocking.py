@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.stage import staged
+from .blocks import dense_product, sparse_product, top_k
 
 CHANNEL_WEIGHTS = {"core_name": 3.0, "name_tokens": 1.0, "addr_tokens": 1.0, "street_number": 1.5, "postal": 2.0}
 TOP_K, MIN_TOKEN, MAX_SHARE, MIN_FREQUENCY = 35, 3, 0.005, 200
@@ -44,14 +46,14 @@ def channel_keys(records: DataFrame, distinct: bool) -> DataFrame:
 
 
 def most_frequent(pool_rows: DataFrame) -> DataFrame:
-    """The records that a token may have, max(200, 0.5 % of the pool): one row, most."""
-    return pool_rows.select(F.greatest(F.lit(MIN_FREQUENCY), F.floor(F.count(F.lit(1)) * MAX_SHARE)).alias("most")).limit(1)
+    """Per country the records that a token may have, max(200, 0.5 % of its pool): country, most."""
+    return pool_rows.groupBy("country").agg(F.greatest(F.lit(MIN_FREQUENCY), F.floor(F.count(F.lit(1)) * MAX_SHARE)).alias("most"))
 
 
 def limited(keys: DataFrame, pool_rows: DataFrame) -> DataFrame:
-    """Without the tokens that more than max(200, 0.5 %) of the pool has."""
+    """Without the tokens that more than max(200, 0.5 %) of a country's pool has."""
     token = F.col("channel").isin("name_tokens", "addr_tokens")
-    often = keys.where(token).groupBy("channel", "country", "key").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(most_frequent(pool_rows))).where(F.col("n") > F.col("most"))
+    often = keys.where(token).groupBy("channel", "country", "key").agg(F.count(F.lit(1)).alias("n")).join(most_frequent(pool_rows), "country").where(F.col("n") > F.col("most"))
     return keys.join(often.select("channel", "country", "key"), ["channel", "country", "key"], "left_anti")
 
 
@@ -82,14 +84,24 @@ def channel_ranks(queries: DataFrame, pool_rows: DataFrame) -> DataFrame:
     return rows.groupBy("s1_id", "cand_id").pivot("channel", [c for c in CHANNEL_WEIGHTS if c != "core_name"]).agg(F.min("r"))
 
 
-def country_tokens(queries: DataFrame, pool_rows: DataFrame) -> DataFrame:
-    """Pairs that share a country and a token of name or address."""
+#: Pool records of a key that meet a query's key in one task.
+HOT_KEY = 10_000
+
+
+def country_tokens(queries: DataFrame, pool_rows: DataFrame, hot: int = HOT_KEY) -> DataFrame:
+    """Pairs that share a country and a token of name or address.  A key
+    that more than ``hot`` pool records have is split: its records are dealt,
+    and the queries' keys are repeated for each part."""
 
     def keys(rows: DataFrame, name: str) -> DataFrame:
         both = F.array_union(text.simple_tokens(F.col("name")), text.simple_tokens(F.col("address")))
         return rows.select(F.col("entity_id").alias(name), "country", F.explode(both).alias("key"))
 
-    return keys(queries, "s1_id").join(keys(pool_rows, "cand_id"), ["country", "key"]).select("s1_id", "cand_id").distinct()
+    right, by = keys(pool_rows, "cand_id"), ["country", "key"]
+    parts = right.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / hot).alias("parts"))
+    left = keys(queries, "s1_id").join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    right = right.join(parts, by).withColumn("part", F.pmod(F.xxhash64("cand_id"), F.col("parts"))).drop("parts")
+    return left.join(right, [*by, "part"]).select("s1_id", "cand_id").distinct()
 
 
 def exact_hits(queries: DataFrame, pool_rows: DataFrame, most: int = EXACT_GROUP) -> DataFrame:
@@ -109,7 +121,8 @@ def _word_ngrams(prefix: str) -> Column:
 
 def _padded_ngrams() -> Column:
     """3- and 4-grams within words padded by a blank, over the text without prefixes."""
-    plain = F.transform("terms", lambda t: F.concat(F.lit(" "), F.regexp_replace(t, "^[nad]:", ""), F.lit(" ")))
+    bare = F.filter(F.transform("terms", lambda t: F.regexp_replace(t, "^[nad]:", "")), lambda t: F.trim(t) != "")
+    plain = F.transform(bare, lambda t: F.concat(F.lit(" "), t, F.lit(" ")))
 
     def grams(w: Column, n: int) -> Column:
         last = F.length(w) - n + 1
@@ -122,37 +135,43 @@ def _padded_ngrams() -> Column:
 TFIDF = {"name_word": (lambda: _word_ngrams("n:"), 1, 1.0), "name_char": (_padded_ngrams, 2, 1.0), "addr": (lambda: _word_ngrams("a:"), 2, 1.0), "combo": (lambda: F.col("terms"), 1, 1.0)}
 
 
-def tfidf_weights(rows: DataFrame, channel: str, idf: DataFrame | None = None, most: int | None = None, features: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entity_id, country, term, w) with unit length, and the idf table that a
-    pool fits: sublinear tf, smooth idf, min_df of the channel, max_df ``most``
-    and, if given, the ``features`` most frequent terms of a country."""
+def tfidf_weights(rows: DataFrame, channel: str, idf: DataFrame | None = None, most: DataFrame | None = None, features: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, country, terms, weights) with unit length, and the idf table
+    that a pool fits: sublinear tf, smooth idf, min_df of the channel, max_df
+    by country (country, most) and, if given, the ``features`` most frequent
+    terms of a country."""
     terms, least, _ = TFIDF[channel]
     docs = rows.select("entity_id", "country", text.field_terms(F.col("name"), F.col("address")).alias("terms"))
     tf = docs.select("entity_id", "country", F.explode(terms()).alias("term")).groupBy("entity_id", "country", "term").agg(F.count(F.lit(1)).alias("tf"))
     if idf is None:
         size = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
         df = tf.groupBy("country", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= least)
-        df = df.where(F.col("df") <= most) if most else df
+        df = df.join(most, "country").where(F.col("df") <= F.col("most")) if most is not None else df
         if features:
             order = Window.partitionBy("country").orderBy(F.desc("cf"), "term")
             df = df.withColumn("o", F.row_number().over(order)).where(F.col("o") <= features)
         idf = df.join(size, "country").select("country", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    raw = tf.join(idf, ["country", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id")))
-    return raw.withColumn("w", F.col("w") / norm).select("entity_id", "country", "term", "w"), idf
+    raw = tf.join(idf, ["country", "term"]).select("entity_id", "country", F.struct("term", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("t"))
+    rows = raw.groupBy("entity_id", "country").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    rows = rows.withColumn("norm", norm).select("entity_id", "country", F.col("t.term").alias("terms"), F.transform("t.w", lambda w: w / F.col("norm")).alias("weights"))
+    return rows, idf
 
 
-def max_df(queries: DataFrame) -> int:
-    """A term's greatest document frequency follows from the number of queries."""
-    return max(2000, int(0.01 * queries.count()))
+def max_df(queries: DataFrame) -> DataFrame:
+    """A term's greatest document frequency follows from the country's queries: country, most."""
+    return queries.groupBy("country").agg(F.greatest(F.lit(2000), F.floor(F.count(F.lit(1)) * 0.01)).alias("most"))
 
 
-def tfidf_pairs(queries: DataFrame, pool_rows: DataFrame, channel: str, k: int = CHANNEL_K, most: int | None = None) -> DataFrame:
-    """The k pool records of greatest cosine for each query."""
-    right, idf = tfidf_weights(pool_rows, channel, most=most if most is not None else max_df(queries))
+def tfidf_pairs(queries: DataFrame, pool_rows: DataFrame, channel: str, k: int = CHANNEL_K, **blocks: int) -> DataFrame:
+    """The k pool records of greatest cosine for each query, by sparse
+    products of blocks."""
+    right, idf = tfidf_weights(pool_rows, channel, most=max_df(queries))
+    idf = staged(idf, "idf")
     left, _ = tfidf_weights(queries, channel, idf)
-    both = left.withColumnsRenamed({"entity_id": "s1_id", "w": "wq"}).join(right.withColumnsRenamed({"entity_id": "cand_id", "w": "wd"}), ["country", "term"])
-    return ranked(both.groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 9).alias("score")), k)
+    right, _ = tfidf_weights(pool_rows, channel, idf)
+    left, right = staged(left.withColumnRenamed("entity_id", "s1_id"), "tfidf"), staged(right.withColumnRenamed("entity_id", "cand_id"), "tfidf")
+    return top_k(left, right, "country", k, sparse_product(k, 9), **blocks).select("s1_id", "cand_id", "score", "rank")
 
 
 def union_channels(queries: DataFrame, pool_rows: DataFrame, k: int = UNION_K, min_score: float = 0.0) -> DataFrame:
@@ -165,16 +184,14 @@ def union_channels(queries: DataFrame, pool_rows: DataFrame, k: int = UNION_K, m
     return ranked(total.where(F.col("score") > min_score), k)
 
 
-def nearest_vectors(vectors: DataFrame, k: int, every: int) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int, every: int, **blocks: int) -> DataFrame:
     """The k most similar rows of the same label, by cosine, for the rows
-    whose id is divisible by ``every``."""
+    whose id is divisible by ``every``; products of blocks of vectors."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).withColumn("v", F.transform("v", lambda x: x / norm))
-    left = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("s1_id"), "label", F.col("v").alias("q"))
-    right = rows.select(F.col("vec_id").alias("cand_id"), "label", "v")
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = left.join(right, "label").where("s1_id <> cand_id").select("s1_id", "cand_id", F.round(dot, 6).alias("score"))
-    return ranked(pairs, k)
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).withColumn("norm", norm)
+    rows = rows.where("norm > 0").select("vec_id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    left = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "s1_id")
+    return top_k(left, rows.withColumnRenamed("vec_id", "cand_id"), "label", k, dense_product(k, 6), **blocks).select("s1_id", "cand_id", "score", "rank")
 
 
 def all_pairs(queries: DataFrame, pool_rows: DataFrame, most: int = 1_000_000) -> DataFrame:

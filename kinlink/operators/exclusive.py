@@ -99,6 +99,12 @@ def assemble(matches: DataFrame, cap: int = CAP) -> DataFrame:
     return once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= cap).drop("k")
 
 
+def collisions(matches: DataFrame) -> DataFrame:
+    """Targets, and the matches beyond the first of each, in one row."""
+    per = matches.groupBy("cand_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("targets"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("collisions"))
+
+
 def sync_candidates(candidates: DataFrame, matches: DataFrame) -> DataFrame:
     """The candidates with every match among them."""
     return candidates.select("s1_id", "cand_id").unionByName(matches.select("s1_id", "cand_id")).distinct()

@@ -13,13 +13,12 @@ from ..sources.stage import staged
 
 def simple_candidates(s1: DataFrame, pool: DataFrame) -> DataFrame:
     """B13 with B8: pairs that share a country and a token that at most
-    max(200, 0.5 % of the pool) records of the country have, with token
-    similarities.  Tokens are dropped by count before the join."""
+    max(200, 0.5 % of the country's pool) records have, with token similarities.  Tokens are dropped by count before the join."""
     prepared = lambda d: d.select("entity_id", "country", text.simple_tokens(F.col("name")).alias("nt"), text.simple_tokens(F.col("address")).alias("at"))
     a, b = prepared(s1), prepared(pool)
     keys = lambda d, name: d.select(F.col("entity_id").alias(name), "country", F.explode(F.array_union("nt", "at")).alias("token"))
     rare = keys(b, "c").groupBy("country", "token").agg(F.count(F.lit(1)).alias("n"))
-    rare = rare.join(F.broadcast(blocking.most_frequent(pool))).where(F.col("n") <= F.col("most")).drop("n", "most")
+    rare = rare.join(blocking.most_frequent(pool), "country").where(F.col("n") <= F.col("most")).drop("n", "most")
     right = keys(b, "cand_id").join(rare, ["country", "token"], "left_semi")
     pairs = keys(a, "s1_id").join(right, ["country", "token"]).select("s1_id", "cand_id", "country").distinct()
     one = a.select(F.col("entity_id").alias("s1_id"), F.col("nt").alias("n1"), F.col("at").alias("a1"))
@@ -47,12 +46,21 @@ def pair_texts(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     return pairs.join(side(s1, "s1_id", 1), "s1_id").join(side(pool, "cand_id", 2), "cand_id")
 
 
-def train(s1: DataFrame, pool: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
-    """Blocked, featurised and labelled pairs with out-of-fold probabilities."""
+def train(s1: DataFrame, pool: DataFrame, truth: DataFrame, names: list[str], n: int = 3) -> DataFrame:
+    """Blocked, featurised and labelled pairs with out-of-fold probabilities.
+    The features ``names`` are computed once and staged: every model of every
+    fold reads them."""
     a, b = normalised(s1), normalised(pool)
     pairs = blocking.multi_channel(a, b)
-    rows = model.labelled(featurize(pair_texts(pairs.select("s1_id", "cand_id"), a, b)), truth)
-    return model.out_of_fold(rows.select("s1_id", "cand_id", "label", *names), names, n=3)
+    rows = model.labelled(featurize(pair_texts(pairs.select("s1_id", "cand_id"), a, b), names), truth)
+    return model.out_of_fold(staged(rows.select("s1_id", "cand_id", "label", *names), "features"), names, n=n)
+
+
+def rescore(submitted: DataFrame, s1: DataFrame, pool: DataFrame, models: dict, names: list[str]) -> DataFrame:
+    """A probability for the matched pairs of ``submitted`` alone; nothing is added."""
+    pairs = submitted.select("s1_id", "cand_id").distinct()
+    rows = featurize(pair_texts(pairs, normalised(s1), normalised(pool)), names)
+    return model.predict(models, staged(rows.select("s1_id", "cand_id", *names), "rescored")).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
 
 
 def measure(matches: DataFrame, truth: DataFrame, spine: DataFrame) -> DataFrame:

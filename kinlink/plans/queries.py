@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.features import channel_features, structural
+from ..functions.features import LANDMARKS, ROADS, channel_features, composite, notebook_features, structural
 from ..functions.fuzzy import fuzzy
 from ..operators import blocking, decide, exclusive, metrics, model, validate
-from ..sources import records
+from ..sources import records, stage
 from . import linkage
 from .fixtures import BIZ, PROB, frames, oracle
 
@@ -26,7 +26,7 @@ def register(name: str, ctes: str, needs: str, sql: str | None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(spark, *frames(spark, sf_dir, ctes, *needs.split()))
+            out = f(spark, *(frames(spark, sf_dir, ctes, *needs.split()) if needs else ()))
             return out.select(*(F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
         QUERIES[name] = run
@@ -119,7 +119,8 @@ def _keys_sql(t: str, distinct: bool) -> str:
 MULTI = NORMAL + f""",
 ka AS ({_keys_sql("a_", False)}),
 kb0 AS ({_keys_sql("b_", True)}),
-often AS (SELECT country, channel, key FROM kb0 WHERE channel IN ('name_tokens', 'addr_tokens') GROUP BY ALL HAVING count(*) > greatest(200, floor((SELECT count(*) FROM pool) * 0.005))),
+sizes AS (SELECT country, greatest(200, floor(count(*) * 0.005)) AS most FROM pool GROUP BY 1),
+often AS (SELECT country, channel, key FROM kb0 JOIN sizes USING (country) WHERE channel IN ('name_tokens', 'addr_tokens') GROUP BY country, channel, key, most HAVING count(*) > most),
 kb AS (SELECT kb0.* FROM kb0 ANTI JOIN often USING (country, channel, key)),
 sc AS (SELECT ka.entity_id AS s1_id, kb.entity_id AS cand_id, sum(ka.w) AS score FROM ka JOIN kb USING (country, channel, key) GROUP BY ALL),
 cand AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS rank FROM sc QUALIFY rank <= 35)"""
@@ -142,9 +143,11 @@ def _(spark, s1, pool, truth, spine):
 k1 AS (SELECT entity_id, country, unnest(list_distinct(list_filter(string_split({SIMPLE.format("name || ' ' || address")}, ' '), lambda t: length(t) >= 2))) AS key FROM s1),
 k2 AS (SELECT entity_id, country, unnest(list_distinct(list_filter(string_split({SIMPLE.format("name || ' ' || address")}, ' '), lambda t: length(t) >= 2))) AS key FROM pool),
 p AS (SELECT DISTINCT k1.entity_id AS s1_id, k2.entity_id AS cand_id FROM k1 JOIN k2 USING (country, key))
-SELECT s1_id, count(*)::BIGINT AS n FROM p GROUP BY 1""")
+SELECT s1_id, count(*)::BIGINT AS n, min(cand_id) AS first, max(cand_id) AS last, sum(CAST('0x' || substr(md5(cand_id), 1, 8) AS BIGINT))::BIGINT AS checksum FROM p GROUP BY 1""")
 def _(spark, s1, pool):
-    return blocking.country_tokens(s1, pool).groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+    check = F.conv(F.substring(F.md5(F.col("cand_id").cast("binary")), 1, 8), 16, 10).cast("long")
+    pairs = blocking.country_tokens(s1, pool, hot=100)  # small tables: so that keys are split
+    return pairs.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"), F.min("cand_id").alias("first"), F.max("cand_id").alias("last"), F.sum(check).alias("checksum"))
 
 
 @register("exact_key", BIZ, "s1 pool", NORMAL + """,
@@ -156,31 +159,56 @@ def _(spark, s1, pool):
     return blocking.exact_hits(linkage.normalised(s1), linkage.normalised(pool))
 
 
-def _grams_sql(t: str) -> str:
-    return f"""SELECT entity_id, country, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term
-  FROM (SELECT entity_id, country, list_transform(list_filter(string_split(name, ' '), lambda w: w <> ''), lambda w: 'n:' || w) AS ws FROM {t})"""
+def _terms_sql(t: str, channel: str) -> str:
+    """entity_id, country and the list of a channel's terms."""
+    grams = lambda ws: f"list_concat({ws}, list_transform(range(1, len({ws})), lambda i: {ws}[i] || ' ' || {ws}[i + 1]))"
+    char = "list_concat(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)), CASE WHEN length(w) > 3 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) ELSE [] END)"
+    terms = {
+        "name_word": grams("n"),
+        "addr": grams("a"),
+        "combo": "list_concat(n, a, d)",
+        "name_char": f"flatten(list_transform(list_transform(list_filter(list_concat(n, a, d), lambda t: trim(t[3:]) <> ''), lambda t: ' ' || t[3:] || ' '), lambda w: {char}))",
+    }[channel]
+    words = lambda c, mark: f"list_transform(list_filter(string_split({c}, ' '), lambda w: w <> ''), lambda w: '{mark}' || w)"
+    digits = r"list_transform(list_filter(string_split(array_to_string(regexp_extract_all(address, '\d+'), ' '), ''), lambda x: x <> ''), lambda x: 'd:' || x)"
+    return f"SELECT entity_id, country, unnest({terms}) AS term FROM (SELECT entity_id, country, {words('name', 'n:')} AS n, {words('address', 'a:')} AS a, {digits} AS d FROM {t})"
 
 
-@register("tfidf_name_word", BIZ, "s1 pool", NORMAL + f""",
-ta AS (SELECT entity_id, country, term, count(*) AS tf FROM ({_grams_sql("a_")}) GROUP BY ALL),
-tb AS (SELECT entity_id, country, term, count(*) AS tf FROM ({_grams_sql("b_")}) GROUP BY ALL),
-idf AS (SELECT country, term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM tb JOIN (SELECT country, count(*) AS n FROM b_ GROUP BY 1) USING (country) GROUP BY country, term, n HAVING count(*) <= 2000),
-wa AS (SELECT entity_id, country, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM (SELECT *, (1 + ln(tf)) * idf AS w FROM ta JOIN idf USING (country, term))),
-wb AS (SELECT entity_id, country, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM (SELECT *, (1 + ln(tf)) * idf AS w FROM tb JOIN idf USING (country, term))),
-c AS (SELECT wa.entity_id AS s1_id, wb.entity_id AS cand_id, round(sum(wa.w * wb.w), 9) AS s FROM wa JOIN wb USING (country, term) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY s DESC, cand_id) AS rank FROM c)
-SELECT s1_id, cand_id, round(s, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10""")
-def _(spark, s1, pool):
-    return blocking.tfidf_pairs(linkage.normalised(s1), linkage.normalised(pool), "name_word", most=2000)
+def _cosine_sql(channel: str) -> str:
+    """CTEs up to r_<channel>: s1_id, cand_id, s and rank of a TF-IDF channel."""
+    c, least = channel, blocking.TFIDF[channel][1]
+    weights = lambda t: f"(SELECT entity_id, country, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM (SELECT *, (1 + ln(tf)) * idf AS w FROM {t} JOIN idf_{c} USING (country, term)))"
+    return f""",
+ta_{c} AS (SELECT entity_id, country, term, count(*) AS tf FROM ({_terms_sql("a_", c)}) GROUP BY ALL),
+tb_{c} AS (SELECT entity_id, country, term, count(*) AS tf FROM ({_terms_sql("b_", c)}) GROUP BY ALL),
+idf_{c} AS (SELECT country, term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM tb_{c} JOIN (SELECT country, count(*) AS n FROM b_ GROUP BY 1) USING (country) JOIN (SELECT country, greatest(2000, floor(count(*) * 0.01)) AS most FROM a_ GROUP BY 1) USING (country) GROUP BY country, term, n, most HAVING count(*) BETWEEN {least} AND most),
+wa_{c} AS {weights(f"ta_{c}")}, wb_{c} AS {weights(f"tb_{c}")},
+c_{c} AS (SELECT x.entity_id AS s1_id, y.entity_id AS cand_id, round(sum(x.w * y.w), 9) AS s FROM wa_{c} x JOIN wb_{c} y USING (country, term) GROUP BY ALL),
+r_{c} AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY s DESC, cand_id) AS rank FROM c_{c} QUALIFY rank <= 10)"""
+
+
+def _register_channel(channel: str) -> None:
+    @register(f"tfidf_{channel}", BIZ, "s1 pool", NORMAL + _cosine_sql(channel) + f"\nSELECT s1_id, cand_id, round(s, 6) AS score, rank::INT AS rank FROM r_{channel}")
+    def _(spark, s1, pool):
+        return blocking.tfidf_pairs(linkage.normalised(s1), linkage.normalised(pool), channel)
+
 
+for _channel in blocking.TFIDF:
+    _register_channel(_channel)
 
-@register("union_channels", BIZ, "s1 pool", None)
+
+@register("union_channels", BIZ, "s1 pool", NORMAL + "".join(map(_cosine_sql, blocking.TFIDF)) + """,
+x AS (SELECT entity_id, country, array_to_string(list_sort(list_filter(string_split(name, ' '), lambda w: length(w) > 2)), ' ') AS key FROM a_),
+y0 AS (SELECT entity_id, country, array_to_string(list_sort(list_filter(string_split(name, ' '), lambda w: length(w) > 2)), ' ') AS key FROM b_),
+y AS (SELECT * FROM y0 QUALIFY count(*) OVER (PARTITION BY country, key) <= 200),
+u AS (SELECT x.entity_id AS s1_id, y.entity_id AS cand_id, 3.0::DOUBLE AS s FROM x JOIN y USING (country, key) WHERE key <> ''""" + "".join(f"\n  UNION ALL SELECT s1_id, cand_id, s FROM r_{c}" for c in blocking.TFIDF) + """)
+SELECT s1_id, cand_id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT s1_id, cand_id, round(sum(s), 9) AS s, row_number() OVER (PARTITION BY s1_id ORDER BY round(sum(s), 9) DESC, cand_id) AS rank FROM u GROUP BY 1, 2 HAVING sum(s) > 0) WHERE rank <= 45""")
 def _(spark, s1, pool):
     return blocking.union_channels(linkage.normalised(s1), linkage.normalised(pool))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 10, 10)
+    return blocking.nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 10, 10, query_block=64, pool_block=128)
 
 
 QUERIES["nearest_vectors"] = _vectors
@@ -205,21 +233,23 @@ def _marks(words: list[str]) -> str:
     return "(" + " OR ".join(f"(contains(a1, '{w}') AND contains(a2, '{w}'))" for w in words) + ")::INT::DOUBLE"
 
 
-STRUCTURAL = ["number_overlap", "token_overlap_count", "token_jaccard_sim", "name_exact_match", "addr_exact_match", "name_length_ratio", "addr_length_ratio", "name_char3_jaccard", "postal_exact", "postal_prefix_2", "postal_distance", "landmark_overlap", "domain_match"]
+STRUCTURAL = ["number_overlap", "token_overlap_count", "token_jaccard_sim", "name_exact_match", "addr_exact_match", "name_length_ratio", "addr_length_ratio", "name_char3_jaccard", "addr_char3_jaccard", "both_have_suffix", "suffix_match", "postal_exact", "postal_prefix_2", "postal_prefix_3", "postal_distance", "landmark_overlap", "domain_match"]
 _GRAM = "CASE WHEN length({0}) < 3 THEN [{0}] ELSE list_distinct(list_transform(range(1, greatest(length(replace({0}, ' ', '')) - 1, 1)), lambda i: substr(replace({0}, ' ', ''), i, 3))) END"
 
 
 @register("features_structural", BIZ, "s1 pool truth", PAIRS + rf""",
 f AS (SELECT *, list_distinct(regexp_extract_all(a1, '\d+')) AS d1, list_distinct(regexp_extract_all(a2, '\d+')) AS d2,
   list_distinct(list_filter(string_split(n1 || ' ' || a1, ' '), lambda w: w <> '')) AS t1, list_distinct(list_filter(string_split(n2 || ' ' || a2, ' '), lambda w: w <> '')) AS t2,
-  {_GRAM.format("n1")} AS g1, {_GRAM.format("n2")} AS g2, regexp_extract(a1, '\b(\d{{5,6}})\b', 1) AS p1, regexp_extract(a2, '\b(\d{{5,6}})\b', 1) AS p2 FROM pr)
+  {_GRAM.format("n1")} AS g1, {_GRAM.format("n2")} AS g2, {_GRAM.format("a1")} AS h1, {_GRAM.format("a2")} AS h2,
+  trim(substr(n1, length({_root_sql("n1")}) + 1)) AS s1, trim(substr(n2, length({_root_sql("n2")}) + 1)) AS s2, regexp_extract(a1, '\b(\d{{5,6}})\b', 1) AS p1, regexp_extract(a2, '\b(\d{{5,6}})\b', 1) AS p2 FROM pr)
 SELECT s1_id, cand_id, round({_jac("d1", "d2", "1.0")}, 6) AS number_overlap, len(list_intersect(t1, t2))::DOUBLE AS token_overlap_count, round({_jac("t1", "t2", "1.0")}, 6) AS token_jaccard_sim,
   (trim(n1) = trim(n2))::INT::DOUBLE AS name_exact_match, (trim(a1) = trim(a2))::INT::DOUBLE AS addr_exact_match,
   round(least(length(n1), length(n2)) / greatest(length(n1), length(n2)), 6) AS name_length_ratio,
   round(CASE WHEN greatest(length(a1), length(a2)) = 0 THEN 1.0 ELSE least(length(a1), length(a2)) / greatest(length(a1), length(a2)) END, 6) AS addr_length_ratio,
-  round({_jac("g1", "g2", "0.0")}, 6) AS name_char3_jaccard, (p1 <> '' AND p1 = p2)::INT::DOUBLE AS postal_exact, (p1 <> '' AND p2 <> '' AND p1[:2] = p2[:2])::INT::DOUBLE AS postal_prefix_2,
+  round({_jac("g1", "g2", "0.0")}, 6) AS name_char3_jaccard, round(CASE WHEN a1 = '' OR a2 = '' THEN 0 ELSE {_jac("h1", "h2", "0.0")} END, 6) AS addr_char3_jaccard,
+  (s1 <> '' AND s2 <> '')::INT::DOUBLE AS both_have_suffix, (s1 <> '' AND s1 = s2)::INT::DOUBLE AS suffix_match, (p1 <> '' AND p1 = p2)::INT::DOUBLE AS postal_exact, (p1 <> '' AND p2 <> '' AND p1[:2] = p2[:2])::INT::DOUBLE AS postal_prefix_2, (p1 <> '' AND p2 <> '' AND p1[:3] = p2[:3])::INT::DOUBLE AS postal_prefix_3,
   round(CASE WHEN p1 <> '' AND p2 <> '' THEN 1 / (1 + abs(p1::BIGINT - p2::BIGINT) / 100) ELSE 0 END, 6) AS postal_distance,
-  {_marks(["near", "beside", "opp", "opposite", "landmark", "building", "gate", "tower"])} AS landmark_overlap, {_marks(["street", "road", "avenue", "boulevard", "lane", "highway"])} AS domain_match FROM f""")
+  {_marks(LANDMARKS)} AS landmark_overlap, {_marks(ROADS)} AS domain_match FROM f""")
 def _(spark, s1, pool, truth):
     found = structural(*(F.col(c) for c in ("name1", "name2", "addr1", "addr2")))
     return _true_pairs(s1, pool, truth).select("s1_id", "cand_id", *(found[c].alias(c) for c in STRUCTURAL))
@@ -228,7 +258,7 @@ def _(spark, s1, pool, truth):
 @register("features_jaro_winkler", BIZ, "s1 pool truth", PAIRS + """
 SELECT s1_id, cand_id, round(CASE WHEN n1 = '' OR n2 = '' THEN 0 ELSE jaro_winkler_similarity(n1, n2) END, 6) AS name_jaro_winkler, round(CASE WHEN a1 = '' OR a2 = '' THEN 0 ELSE jaro_winkler_similarity(a1, a2) END, 6) AS addr_jaro_winkler FROM pr""")
 def _(spark, s1, pool, truth):
-    rows = _true_pairs(s1, pool, truth).withColumn("f", fuzzy(*(F.col(c) for c in ("name1", "name2", "addr1", "addr2"))))
+    rows = _true_pairs(s1, pool, truth).withColumn("f", fuzzy(*(F.col(c) for c in ("name1", "name2", "addr1", "addr2")), ["name_jaro_winkler", "addr_jaro_winkler"]))
     return rows.select("s1_id", "cand_id", "f.name_jaro_winkler", "f.addr_jaro_winkler")
 
 
@@ -496,7 +526,8 @@ tok1 AS (SELECT entity_id, country, list_distinct(list_filter(string_split({SIMP
 tok2 AS (SELECT entity_id, country, list_distinct(list_filter(string_split({SIMPLE.format("name")}, ' '), lambda t: length(t) >= 2)) AS nt, list_distinct(list_filter(string_split({SIMPLE.format("address")}, ' '), lambda t: length(t) >= 2)) AS at_ FROM pool),
 k1 AS (SELECT entity_id, country, unnest(list_distinct(list_concat(nt, at_))) AS token FROM tok1),
 k2 AS (SELECT entity_id, country, unnest(list_distinct(list_concat(nt, at_))) AS token FROM tok2),
-rare AS (SELECT country, token FROM k2 GROUP BY ALL HAVING count(*) <= 200),
+sizes AS (SELECT country, greatest(200, floor(count(*) * 0.005)) AS most FROM pool GROUP BY 1),
+rare AS (SELECT country, token FROM k2 JOIN sizes USING (country) GROUP BY country, token, most HAVING count(*) <= most),
 pr AS (SELECT DISTINCT k1.entity_id AS s1_id, k2.entity_id AS cand_id FROM k1 JOIN rare USING (country, token) JOIN k2 USING (country, token)),
 sc AS (SELECT s1_id, cand_id, round(1 / (1 + exp(-(8 * ({_jac("a.nt", "b.nt", "1.0")}) + 4 * ({_jac("a.at_", "b.at_", "1.0")}) - 5))), 9) AS p FROM pr JOIN tok1 a ON a.entity_id = s1_id JOIN tok2 b ON b.entity_id = cand_id),
 hit AS (SELECT * FROM sc WHERE p >= 0.5 QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY p DESC, s1_id) = 1)"""
@@ -516,6 +547,308 @@ def _(spark, s1, pool, truth, spine):
     return linkage.measure(linkage.simple_link(s1, pool), truth, spine)
 
 
+TRAINED = ["name_ratio", "addr_ratio", "name_jaro_winkler", "token_jaccard_sim", "number_overlap", "postal_exact"]
+
+
 @register("train_out_of_fold", BIZ, "s1 pool truth", None)
 def _(spark, s1, pool, truth):
-    return linkage.train(s1, pool, truth, ["name_ratio", "addr_ratio", "name_jaro_winkler", "token_jaccard_sim", "number_overlap", "postal_exact"]).select("s1_id", "cand_id", "label", "p")
+    return linkage.train(s1, pool, truth, TRAINED).select("s1_id", "cand_id", "label", "p")
+
+
+BUCKETED = "CAST('0x' || substr(md5('42|' || s1_id), 1, 8) AS BIGINT)"
+
+
+@register("train_labels", BIZ, "s1 pool truth", MULTI + f"""
+SELECT s1_id, cand_id, (t.s1_id IS NOT NULL)::INT::DOUBLE AS label, {BUCKETED.replace("s1_id", "cand.s1_id")} % 3 AS fold FROM cand LEFT JOIN (SELECT DISTINCT s1_id, cand_id FROM truth) t USING (s1_id, cand_id)""")
+def _(spark, s1, pool, truth):
+    pairs = blocking.multi_channel(linkage.normalised(s1), linkage.normalised(pool))
+    return model.folds(model.labelled(pairs.select("s1_id", "cand_id"), truth), 3)
+
+
+# Names with letters outside ASCII, and what must come of them, written by hand.
+NAMES = [
+    ("Crème Brûlée Café", "creme brulee cafe", "creme brulee cafe", False),
+    ("Cœur & Sœur Ltd", "coeur and soeur limited", "coeur and soeur", False),
+    ("Bjørn Straße Corp", "bjorn strasse corporation", "bjorn strasse", False),
+    ("Łódź Æther Co", "lodz aether company", "lodz aether", False),
+    ("Москва Inc", "moskva incorporated", "moskva", False),
+    ("Αθήνα Ltd", "athina limited", "athina", False),
+    ("ＡＣＭＥ Corp", "acme corporation", "acme", False),
+    ("मुंबई Pvt Ltd", "munbaee private limited", "munbaee private", True),
+    ("北京 Ltd", "北京 limited", "北京", False),
+    ("O'Neil \"Sons\" Inc", "oneil sons incorporated", "oneil sons", False),
+]
+
+
+@register("norm_letters", "", "", None)
+def _(spark):
+    rows = spark.createDataFrame([(n,) for n, *_ in NAMES], "name string").withColumn("v", text.name_variants(F.col("name")))
+    return rows.select("name", F.col("v.normalized").alias("normalized"), F.col("v.root").alias("root"), text.is_indic(F.col("name")).alias("indic"))
+
+
+ORACLES["norm_letters"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in NAMES) + ") AS v(name, normalized, root, indic)"
+
+
+# Addresses likewise: the text, normalised, street number, postal code.
+ADDRESSES = [
+    ("12 Rue de l’Église, 75001 Paris", "12 rue de leglise, 75001 paris", "12", "75001"),
+    ("१२ मार्ग, 400001", "12 marga, 400001", "१२", "400001"),
+    ("7 Øster St, København 21000", "7 oster street, kobenhavn 21000", "7", "21000"),
+    ("", "", "", ""),
+]
+
+
+@register("norm_address_letters", "", "", None)
+def _(spark):
+    rows = spark.createDataFrame([(a,) for a, *_ in ADDRESSES], "address string").withColumn("p", text.address_parts(F.col("address")))
+    return rows.select("address", "p.normalized", "p.street_num", "p.postal_code")
+
+
+ORACLES["norm_address_letters"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in ADDRESSES) + ") AS v(address, normalized, street_num, postal_code)"
+
+
+@register("name_codes", BIZ, "pool", rf""",
+w AS (SELECT entity_id, regexp_extract_all(lower(name), '[a-z]+') AS a, list_distinct(list_transform(list_filter(regexp_extract_all(name || ' ' || address, '\b\d+\b'), lambda x: length(x) < 18), lambda x: x::BIGINT)) AS ints, regexp_extract(entity_id, '(\d+)$', 1)::BIGINT * 50000 AS num FROM pool),
+m AS (SELECT *, list_filter(a, lambda w: w NOT IN ({", ".join(f"'{x}'" for x in text.ACRONYM_STOP)})) AS main FROM w)
+SELECT entity_id, array_to_string(list_transform(CASE WHEN len(main) > 0 THEN main ELSE a END, lambda w: w[1]), '') AS acronym, len(ints)::INT AS n_integers, list_sum(ints)::BIGINT AS total,
+  CASE WHEN num >= 700000000 AND num < 800000000 THEN 'France' WHEN num >= 400000000 AND num < 600000000 THEN 'India' ELSE 'US' END AS country FROM m""")
+def _(spark, pool):
+    number = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("long") * 50000
+    rows = pool.select("entity_id", text.acronym(F.col("name")).alias("acronym"), text.integers(F.concat_ws(" ", "name", "address")).alias("ints"), text.country_from_id(number).alias("country"))
+    total = F.when(F.size("ints") > 0, F.aggregate("ints", F.lit(0).cast("long"), lambda s, x: s + x))
+    return rows.select("entity_id", "acronym", F.size("ints").alias("n_integers"), total.alias("total"), "country")
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts of up to 120
+    characters: the bits of a state, one step for each character of b."""
+    full = f"(((1::HUGEINT << (length({a}) - 1)) - 1) * 2 + 1)"
+    marks = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = c THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))::HUGEINT)"
+    last = f"list_reduce(list_prepend({full}, {marks}), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full})"
+    return f"(length({a}) - bit_count({last} & {full}))"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 1 ELSE 2.0 * {_lcs_sql(a, b)} / (length({a}) + length({b})) END"
+
+
+_SORTED = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda w: w <> '')), ' ')"
+
+
+@register("features_ratios", BIZ, "s1 pool truth", PAIRS + f""",
+s AS (SELECT *, {_SORTED.format("n1")} AS m1, {_SORTED.format("n2")} AS m2, list_distinct(list_filter(string_split(n1, ' '), lambda w: w <> '')) AS x, list_distinct(list_filter(string_split(n2, ' '), lambda w: w <> '')) AS y FROM pr),
+t AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS shared_, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS dx, array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS dy FROM s),
+u AS (SELECT *, trim(shared_ || ' ' || dx) AS one, trim(shared_ || ' ' || dy) AS two FROM t)
+SELECT s1_id, cand_id, round({_ratio_sql("n1", "n2")}, 6) AS name_ratio, round({_ratio_sql("m1", "m2")}, 6) AS name_token_sort_ratio, round({_ratio_sql("a1", "a2")}, 6) AS addr_ratio,
+  round(CASE WHEN n1 = '' OR n2 = '' THEN 0 WHEN n1 = n2 OR (shared_ <> '' AND (dx = '' OR dy = '')) THEN 1 ELSE greatest({_ratio_sql("one", "two")}, {_ratio_sql("shared_", "one")}, {_ratio_sql("shared_", "two")}) END, 6) AS name_token_set_ratio FROM u""")
+def _(spark, s1, pool, truth):
+    names = ["name_ratio", "name_token_sort_ratio", "name_token_set_ratio", "addr_ratio"]
+    return _true_pairs(s1, pool, truth).select("s1_id", "cand_id", fuzzy(*(F.col(c) for c in ("name1", "name2", "addr1", "addr2")), names).alias("f")).select("s1_id", "cand_id", "f.*")
+
+
+@register("features_composite", PROB, "prob", """,
+v AS (SELECT s1_id, cand_id, p AS a, 1 - p * p AS b FROM prob)
+SELECT s1_id, cand_id, round(2 * a * b / (a + b), 6) AS harmonic_mean, round(a * b, 6) AS product, round(least(a, b), 6) AS minimum, round(greatest(a, b), 6) AS maximum, round(abs(a - b), 6) AS abs_diff, (a > 0.75 AND b > 0.75)::INT::DOUBLE AS high_both, round(0.5 * a + 0.5 * b, 6) AS composite_score FROM v""")
+def _(spark, prob):
+    return prob.select("s1_id", "cand_id", *(v.alias(k) for k, v in composite(F.col("p"), 1 - F.col("p") * F.col("p")).items()))
+
+
+RAW_PAIRS = """,
+rw AS (SELECT t.s1_id, t.cand_id, s1.name AS n1, s1.address AS a1, pool.name AS n2, pool.address AS a2 FROM truth t JOIN s1 ON s1.entity_id = t.s1_id JOIN pool ON pool.entity_id = t.cand_id)"""
+
+
+def _simple_tokens_sql(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({SIMPLE.format(x)}, ' '), lambda t: length(t) >= 2))"
+
+
+@register("features_notebook", BIZ, "s1 pool truth", RAW_PAIRS + f""",
+f AS (SELECT *, {SIMPLE.format("n1")} AS x, {SIMPLE.format("n2")} AS y, {SIMPLE.format("a1")} AS v, {SIMPLE.format("a2")} AS w, {_simple_tokens_sql("n1")} AS tx, {_simple_tokens_sql("n2")} AS ty, {_simple_tokens_sql("a1")} AS tv, {_simple_tokens_sql("a2")} AS tw FROM rw)
+SELECT s1_id, cand_id, round({_ratio_sql("x", "y")}, 6) AS name_levenshtein_ratio, round({_ratio_sql("v", "w")}, 6) AS addr_levenshtein_ratio, round({_jac("tx", "ty", "0.0")}, 6) AS name_jaccard, round({_jac("tv", "tw", "0.0")}, 6) AS addr_jaccard,
+  (len(list_intersect(tx, tw)) > 0 OR len(list_intersect(ty, tv)) > 0)::INT::DOUBLE AS name_addr_token_overlap, (x = y)::INT::DOUBLE AS exact_name_match, (v = w)::INT::DOUBLE AS exact_addr_match, (x <> '' AND y <> '')::INT::DOUBLE AS both_names_nonempty FROM f""")
+def _(spark, s1, pool, truth):
+    side = lambda d, key, k: d.select(F.col("entity_id").alias(key), F.col("name").alias(f"name{k}"), F.col("address").alias(f"addr{k}"))
+    found = notebook_features(truth.join(side(s1, "s1_id", 1), "s1_id").join(side(pool, "cand_id", 2), "cand_id"))
+    return found.drop(*(f"{p}_{m}" for p in ("name", "addr") for m in ("partial_ratio", "token_sort_ratio", "token_set_ratio")))
+
+
+EXPECTED_GRID = """,
+tr AS (SELECT DISTINCT s1_id, cand_id FROM truth),
+sh AS (SELECT * FROM (VALUES (-1.5), (-0.5), (0.0), (0.5), (1.5)) AS v(s)),
+pts AS (SELECT (row_number() OVER (ORDER BY s, t) - 1)::INT AS point, s, t FROM sh, (VALUES (0.0), (0.2), (0.4)) AS x(t)),
+q AS (SELECT *, CASE WHEN s = 0 THEN c ELSE 1 / (1 + exp(-(ln(c / (1 - c)) + s))) END AS q FROM (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS c FROM d) CROSS JOIN sh),
+e AS (SELECT *, 1.25 * sum(q) OVER (PARTITION BY s, s1_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / (0.25 * sum(q) OVER (PARTITION BY s, s1_id) + rank) AS e, exp(sum(ln(1 - q)) OVER (PARTITION BY s, s1_id)) AS none FROM q),
+b AS (SELECT s, s1_id, max(e) AS best, arg_max(rank, e) AS k, max(none) AS none FROM e GROUP BY ALL),
+kp AS (SELECT point, s1_id, cand_id FROM e JOIN b USING (s, s1_id) JOIN pts USING (s) WHERE best > b.none AND rank <= k AND p >= t),
+g AS (SELECT s1_id, point, count(*) AS n_pred, count(tr.cand_id) AS tp FROM kp LEFT JOIN tr USING (s1_id, cand_id) GROUP BY ALL),
+nt AS (SELECT s1_id, count(*) AS n_true FROM tr GROUP BY 1),
+per AS (SELECT point, s, t, CASE WHEN coalesce(n_true, 0) = 0 AND coalesce(n_pred, 0) = 0 THEN 1.0 WHEN coalesce(n_true, 0) = 0 OR coalesce(n_pred, 0) = 0 THEN 0.0 ELSE 5.0 * tp / (n_true + 4 * n_pred) END::DOUBLE AS f
+  FROM spine CROSS JOIN pts LEFT JOIN g USING (s1_id, point) LEFT JOIN nt USING (s1_id))
+SELECT point, s::DOUBLE AS shift, t::DOUBLE AS tau, round(avg(f), 6) AS macro_f FROM per GROUP BY ALL"""
+
+
+@register("grid_expected", PROB, "prob truth spine", RANKED + EXPECTED_GRID)
+def _(spark, prob, truth, spine):
+    return decide.search_expected(decide.ranked(prob), truth, spine, decide.grid(spark, shift=[-1.5, -0.5, 0.0, 0.5, 1.5], tau=[0.0, 0.2, 0.4]))
+
+
+@register("grid_all_rules", PROB, "prob truth spine", None)
+def _(spark, prob, truth, spine):
+    return decide.search_all(decide.ranked(prob), truth, spine, [0.3, 0.5, 0.72], [0.01, 0.4], [0.0, 0.5, 0.9], [-0.5, 0.0, 0.5], [0.0, 0.2])
+
+
+@register("prior_sweep", PROB, "prob spine", RANKED + """,
+pts AS (SELECT (row_number() OVER (ORDER BY t, a) - 1)::INT AS point, t, a FROM (VALUES (0.6), (0.7), (0.75), (0.8), (0.85), (0.9), (0.93), (0.95), (0.97)) AS x(t), (VALUES (0.7), (0.8), (0.9)) AS y(a)),
+kp AS (SELECT point, s1_id, count(*) AS k FROM d JOIN pts ON p >= greatest(t, a * max_p) + CASE WHEN country IN ('ASIA', 'EUROPE') THEN 0 ELSE 0.1 END WHERE max_p >= 0.01 AND rank <= 11 GROUP BY ALL),
+c AS (SELECT point, t, a, coalesce(kp.k, 0) AS k FROM spine CROSS JOIN pts LEFT JOIN kp USING (point, s1_id)),
+s AS (SELECT point, t, a, count(*) AS n, 100 * avg((k = 0)::INT) AS empty_pct, avg(k) AS mean, quantile_disc(k, 0.5) AS p50, quantile_disc(k, 0.9) AS p90, quantile_disc(k, 0.99) AS p99, 100 * avg((k = 11)::INT) AS at_cap_pct FROM c GROUP BY ALL)
+SELECT point, t::DOUBLE AS tau, a::DOUBLE AS alpha, n, round(empty_pct, 6) AS empty_pct, round(mean, 6) AS mean, p50, p90, p99, round(at_cap_pct, 6) AS at_cap_pct, round(4 * abs(mean - 3.46) / 3.46 + 2 * abs(p90 - 6) / 6 + 0.5 * at_cap_pct / 10, 6) AS penalty FROM s""")
+def _(spark, prob, spine):
+    return decide.prior_sweep(decide.ranked(prob), spine, [0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97], [0.7, 0.8, 0.9], ["ASIA", "EUROPE"])
+
+
+@register("micro_threshold", PROB, "prob truth", """,
+l AS (SELECT p, (tr.cand_id IS NOT NULL)::INT AS y FROM prob LEFT JOIN (SELECT DISTINCT s1_id, cand_id FROM truth) tr USING (s1_id, cand_id)),
+pts AS (SELECT i::INT AS point, 0.4 + 0.05 * i AS t FROM range(9) AS r(i)),
+s AS (SELECT point, t, (SELECT count(*) FROM l WHERE p > t) AS n, (SELECT sum(y) FROM l WHERE p > t) AS tp, (SELECT sum(y) FROM l) AS y FROM pts)
+SELECT point, round(t::DOUBLE, 6) AS tau, round(tp / n, 6) AS precision, round(tp / y, 6) AS recall, round(1.25 * (tp / n) * (tp / y) / (0.25 * (tp / n) + tp / y), 6) AS f FROM s""")
+def _(spark, prob, truth):
+    return decide.micro_threshold(model.labelled(prob, truth), [0.4 + 0.05 * i for i in range(9)])
+
+
+@register("country_shift", PROB, "prob truth spine", RANKED + EXPECTED_GRID.replace("(VALUES (0.0), (0.2), (0.4))", "(VALUES (0.0))").replace("SELECT point, s::DOUBLE AS shift, t::DOUBLE AS tau, round(avg(f), 6) AS macro_f FROM per GROUP BY ALL", "SELECT s::DOUBLE AS shift, round(avg(f), 6) AS macro_f FROM per GROUP BY s ORDER BY round(avg(f), 9) DESC, s LIMIT 1"))
+def _(spark, prob, truth, spine):
+    points = decide.grid(spark, shift=[-1.5, -0.5, 0.0, 0.5, 1.5], tau=[0.0])
+    return decide.best_point(decide.search_expected(decide.ranked(prob), truth, spine, points)).select("shift", "macro_f")
+
+
+@register("incumbent", PROB, "prob truth spine", None)
+def _(spark, prob, truth, spine):
+    rows = decide.ranked(prob)
+    new = decide.search_relative(rows, truth, spine, decide.grid(spark, tau=[0.5, 0.72], margin=[0.01], alpha=[0.5, 0.9]))
+    old = decide.search_relative(rows, truth, spine, decide.grid(spark, tau=[0.65], margin=[0.01], alpha=[0.0]))
+    return decide.incumbent(new, old).select("winner", F.col("new.macro_f").alias("new_f"), F.col("old.macro_f").alias("old_f"), "margin")
+
+
+@register("count_histogram", PROB, "prob spine", KEPT + "\nSELECT coalesce(kk, 0) AS k, count(*) AS n FROM spine LEFT JOIN (SELECT s1_id, count(*) AS kk FROM kept GROUP BY 1) USING (s1_id) GROUP BY 1")
+def _(spark, prob, spine):
+    return decide.count_histogram(_kept(prob), spine)
+
+
+@register("exclusive_score", PROB, "prob", KEPT + """,
+c AS (SELECT s1_id, cand_id, CASE WHEN rank % 3 = 0 THEN NULL ELSE p END AS p, rank AS position FROM kept)
+SELECT s1_id, cand_id, round(p, 6) AS p FROM c QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY p DESC NULLS LAST, position, s1_id) = 1""")
+def _(spark, prob):
+    claims = _kept(prob).select("s1_id", "cand_id", F.when(F.col("rank") % 3 != 0, F.col("p")).alias("p"), F.col("rank").alias("position"))
+    return exclusive.by_score(claims).select("s1_id", "cand_id", "p")
+
+
+@register("pool_union", BIZ, "s1 pool", """,
+one AS (SELECT entity_id, name, country FROM pool WHERE starts_with(entity_id, 'S2')),
+two AS (SELECT entity_id, upper(name) AS name, country FROM pool WHERE starts_with(entity_id, 'S3') OR entity_id LIKE 'S2-%1')
+SELECT * FROM two UNION ALL SELECT * FROM one ANTI JOIN two USING (entity_id)""")
+def _(spark, s1, pool):
+    rows = pool.select("entity_id", "name", "country")
+    two = rows.where(F.startswith("entity_id", F.lit("S3")) | F.col("entity_id").like("S2-%1")).withColumn("name", F.upper("name"))
+    return records.pool(rows.where(F.startswith("entity_id", F.lit("S2"))), two)
+
+
+@register("hybrid", PROB, "prob truth", KEPT + """,
+base_ AS (SELECT DISTINCT s1_id, cand_id FROM kept WHERE rank <= 2),
+n AS (SELECT DISTINCT s1_id, cand_id FROM prob ANTI JOIN base_ USING (s1_id, cand_id)),
+u AS (SELECT *, 0 AS added FROM base_ UNION ALL SELECT *, 1 FROM n)
+SELECT s1_id, cand_id, added::INT AS added FROM u QUALIFY added = 0 OR row_number() OVER (PARTITION BY s1_id ORDER BY added, cand_id) <= 4""")
+def _(spark, prob, truth):
+    return exclusive.hybrid(_kept(prob).where("rank <= 2"), prob, 4)
+
+
+@register("replace_country", PROB, "prob", RANKED + """
+SELECT s1_id, cand_id, country FROM d WHERE country <> 'ASIA' AND p >= 0.5 UNION ALL SELECT s1_id, cand_id, country FROM d WHERE country = 'ASIA' AND p >= 0.95""")
+def _(spark, prob):
+    return exclusive.replace_country(prob.where("p >= 0.5"), prob, "ASIA")
+
+
+@register("prune_distractors", BIZ, "s1 pool truth", RAW_PAIRS + f""",
+y AS (SELECT r1.s1_id, r2.cand_id, lower(r1.n1) AS x, lower(r2.n2) AS y FROM rw r1 JOIN rw r2 ON r2.s1_id = 'S1-' || (replace(r1.s1_id, 'S1-', '')::BIGINT + 1) UNION SELECT s1_id, cand_id, lower(n1), lower(n2) FROM rw),
+z AS (SELECT *, {_SORTED.format("x")} AS u, {_SORTED.format("y")} AS v, regexp_extract_all(x, '[a-z]+') AS wx, regexp_extract_all(y, '[a-z]+') AS wy, regexp_replace(x, '[^a-z]', '', 'g') AS lx, regexp_replace(y, '[^a-z]', '', 'g') AS ly FROM y),
+m AS (SELECT *, list_filter(wx, lambda w: w NOT IN ({", ".join(f"'{x}'" for x in text.ACRONYM_STOP)})) AS mx, list_filter(wy, lambda w: w NOT IN ({", ".join(f"'{x}'" for x in text.ACRONYM_STOP)})) AS my FROM z),
+k AS (SELECT *, array_to_string(list_transform(CASE WHEN len(mx) > 0 THEN mx ELSE wx END, lambda w: w[1]), '') AS ax, array_to_string(list_transform(CASE WHEN len(my) > 0 THEN my ELSE wy END, lambda w: w[1]), '') AS ay FROM m)
+SELECT s1_id, cand_id FROM k WHERE {_ratio_sql("u", "v")} >= 0.6 OR (ly <> '' AND ly = ax) OR (ax <> '' AND ax = ay) OR (ly <> '' AND length(ly) <= 5 AND contains(ax, ly)) OR (lx <> '' AND lx = ay) OR (lx <> '' AND length(lx) <= 5 AND contains(ay, lx))""")
+def _(spark, s1, pool, truth):
+    one = s1.select(F.col("entity_id").alias("s1_id"), F.col("name").alias("name1"))
+    next_ = F.concat(F.lit("S1-"), F.regexp_replace("s1_id", "S1-", "").cast("long") - 1)
+    pairs = truth.unionByName(truth.select(next_.alias("s1_id"), "cand_id").join(truth.select("s1_id").distinct(), "s1_id", "left_semi")).distinct()
+    rows = pairs.join(one, "s1_id").join(pool.select(F.col("entity_id").alias("cand_id"), F.col("name").alias("name2")), "cand_id")
+    return exclusive.prune_distractors(rows, 0.6).select("s1_id", "cand_id")
+
+
+@register("assemble", PROB, "prob", RANKED + """,
+a AS (SELECT s1_id, cand_id, rank FROM d QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY rank, cand_id) <= 5)
+SELECT count(DISTINCT cand_id) AS targets, count(*) - count(DISTINCT cand_id) AS collisions FROM a""")
+def _(spark, prob):
+    return exclusive.collisions(exclusive.assemble(decide.ranked(prob).select("s1_id", "cand_id", "rank"), 5))
+
+
+@register("conflict_stats", PROB, "prob", KEPT + """,
+c AS (SELECT cand_id, count(DISTINCT s1_id) AS n FROM kept GROUP BY 1)
+SELECT sum(n)::BIGINT AS claims, count(*) AS targets, count(*) FILTER (n > 1) AS conflicts, sum(n - 1)::BIGINT AS lost FROM c""")
+def _(spark, prob):
+    return exclusive.conflict_stats(_kept(prob))
+
+
+@register("outside_candidates", PROB, "prob truth", KEPT + """,
+c AS (SELECT s1_id, cand_id FROM d WHERE rank <= 3),
+o AS (SELECT DISTINCT s1_id, cand_id FROM kept ANTI JOIN c USING (s1_id, cand_id))
+SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS ids FROM o GROUP BY 1""")
+def _(spark, prob, truth):
+    lists = lambda d: d.groupBy("s1_id").agg(F.array_join(F.collect_list("cand_id"), ",").alias("ids"))
+    return validate.outside_candidates(lists(_kept(prob)), lists(decide.ranked(prob).where("rank <= 3")))
+
+
+@register("unknown_ids", PROB, "prob truth spine", LISTED + """
+SELECT 'unknown_id' AS "check", s1_id, cand_id AS detail FROM kept WHERE cand_id NOT IN (SELECT cand_id FROM truth)""")
+def _(spark, prob, truth, spine):
+    lists = records.lists_of(_kept(prob), spine, ["rank"], "ids")
+    return validate.violations(lists, spine, truth).where(F.col("check") == "unknown_id")
+
+
+def _patterns_sql() -> str:
+    order = {"false_positives": ("fp > 0", "fp DESC"), "false_negatives": ("fn > 0", "fn DESC"), "low_precision": ("precision < 0.5", "precision"), "low_recall": ("recall < 0.5", "recall"), "worst_f": ("TRUE", "f"), "anomaly": ("(fp / (tp + 1) > 2 OR fn / (tp + 1) > 2)", "fp + fn DESC")}
+    parts = [f"SELECT * FROM (SELECT '{k}' AS kind, s1_id, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f, 6) AS f FROM x WHERE {test} ORDER BY {by}, s1_id LIMIT 10)" for k, (test, by) in order.items()]
+    return REPORT + ",\nx AS (SELECT s1_id, tp, n_pred - tp AS fp, n_true - tp AS fn, precision, recall, f FROM rep)\n" + "\nUNION ALL ".join(parts)
+
+
+ORACLES["error_patterns"] = oracle(PROB, _patterns_sql())
+
+
+def _written(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """A TSV of ``df`` in the folder for staged tables."""
+    path = stage.fresh(spark, name)
+    df.write.csv(path, sep="\t", header=True, emptyValue="", quote="")
+    return path
+
+
+@register("source_records", BIZ, "pool", """
+SELECT entity_id, name AS business_name, address AS business_address, country, entity_id[:2] AS source FROM pool""")
+def _(spark, pool):
+    rows = pool.select("entity_id", F.col("name").alias("business_name"), F.col("address").alias("business_address"), "country")
+    return records.filled(records.read_records(spark, _written(spark, rows, "records")))
+
+
+@register("source_census", BIZ, "s1 pool", """
+SELECT 's1' AS name, count(*) AS rows FROM s1 UNION ALL SELECT 'pool', count(*) FROM pool""")
+def _(spark, s1, pool):
+    paths = {n: _written(spark, d.select("entity_id", "name").coalesce(1), n) for n, d in (("s1", s1), ("pool", pool))}
+    return records.census(spark, paths).select("name", "rows")
+
+
+@register("source_lists", PROB, "prob spine", KEPT + """
+SELECT s1_id, cand_id, (row_number() OVER (PARTITION BY s1_id ORDER BY rank, cand_id) - 1)::INT AS rank FROM kept""")
+def _(spark, prob, spine):
+    path = stage.fresh(spark, "lists")
+    records.write_lists(records.lists_of(_kept(prob), spine, ["rank"]), path)
+    return records.read_lists(spark, path).select("s1_id", "cand_id", "rank")
+
+
+@register("source_scores", PROB, "prob", RANKED + "\nSELECT s1_id, cand_id, round(p, 6) AS p FROM d WHERE rank <= 5")
+def _(spark, prob):
+    return records.read_scores(spark, _written(spark, records.score_rows(prob, 5), "scores"), "csv")

@@ -86,6 +86,15 @@ def read_scores(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return rows.select(F.col("source1_entity_id").alias("s1_id"), F.col("candidate_entity_id").alias("cand_id"), F.col("probability").alias("p"))
 
 
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at ``path``; where there is none it is made by
+    ``make()`` and written first."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def census(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Rows and bytes of text of each file."""
     out = None

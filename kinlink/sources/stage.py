@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: computed once, however often it is used,
-    and safe when executors are lost.  The folder is ``spark.checkpoint.dir``;
-    only where that is unset, as in tests, a temporary one."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; only on one machine, where that
+    is unset, in a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_kinlink_stage", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark._kinlink_stage = "file://" + tempfile.mkdtemp(prefix="kinlink-stage-")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` and read it back: computed once, however often it is used,
+    and safe when executors are lost."""
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
