@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the
-    cluster names one, else a temporary folder (tests, one machine)."""
+    cluster names one, else a temporary folder of the one machine that runs
+    all; on a cluster the setting must be there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_kinlink_dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="kinlink-")
@@ -40,10 +44,44 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     and survives the loss of executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    staged(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``materialised`` has written and nobody has discarded."""
+    if not hasattr(spark, "_kinlink_staged"):
+        spark._kinlink_staged = []
+    return spark._kinlink_staged
+
+
+def roots(df: DataFrame) -> list[str]:
+    """The paths that the files which ``df`` reads were listed from."""
+    leaves, found = df._jdf.queryExecution().optimizedPlan().collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found += leaf.relation().location().rootPaths().mkString("\n").split("\n")
+    return found
+
+
+def discard(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Delete staged tables, but those that ``keep`` reads."""
+    names = [r.rstrip("/").rsplit("/", 1)[-1] for r in roots(keep)]
+    for path in [p for p in paths if p.rsplit("/", 1)[-1] not in names]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if path in staged(spark):
+            staged(spark).remove(path)
+
+
+def appended(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The columns of ``batch`` that aren't named like a new one, then the new ones."""
+    keep = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in new]
+    return pa.RecordBatch.from_arrays([c for _, c in keep] + list(new.values()), names=[n for n, _ in keep] + list(new))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

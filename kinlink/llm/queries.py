@@ -46,8 +46,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN)
-    return bpe.digests(bpe.decode(ids.select("doc_id", "ids"), RANKS, PATTERN))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN, data="decoded"))
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

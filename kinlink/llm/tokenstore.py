@@ -17,7 +17,6 @@ empty tables give an empty store; further columns of the input aren't read.
 from __future__ import annotations
 
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, word_encoder
+from .chunks import BatchEncoder, batched, word_encoder
 from .common import quiet_tokenizer, text_or_empty, utf8_bytes
 
 CHUNK_BITS, BLOCK_WORDS = 8, 8
@@ -99,7 +98,7 @@ class DirectlyAddressable:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> BatchEncoder:
     return word_encoder(quiet_tokenizer(path))
 
 
@@ -116,28 +115,27 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
-        docs_, lengths = [], []
+        docs_: list[int | None] = []
+        lengths: list[np.ndarray] = []
 
         def shard() -> pa.RecordBatch:
             flat = np.concatenate(ids)
-            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([DirectlyAddressable.pack(flat)], pa.binary())]
+            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([DirectlyAddressable.pack(flat)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "n_ids", "doc_ids", "lengths", "data"])
 
         held = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    found = np.frombuffer(array("I", enc(t) + [end_id]), np.uint32)
-                    ids.append(found)
-                    docs_.append(d)
-                    lengths.append(len(found))
-                    held += len(found)
-                    if held >= SHARD_IDS:
-                        yield shard()
-                        ids, docs_, lengths, held, seq = [], [], [], 0, seq + 1
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, flat, counts in batched(enc, batch.column(1).to_pylist()):
+                docs_ += doc_ids[a:b]
+                ids.append(np.insert(flat, np.cumsum(counts), end_id))
+                lengths.append(counts + 1)
+                held += len(ids[-1])
+                if held >= SHARD_IDS:
+                    yield shard()
+                    ids, docs_, lengths, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield shard()
 
