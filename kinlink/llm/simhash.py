@@ -4,18 +4,21 @@ A fingerprint has one bit for each of 64 positions: set in over half of the
 XXH64 values of the text's word shingles.  Distinct fingerprints are linked at
 MAX_BITS or fewer differing bits, and linked fingerprints form components.
 
-The top of the index deals by exact blocks: the bits are cut into
-max_bits + agree blocks, and fingerprints within max_bits of each other agree
-in at least ``agree`` of them, so every link is met in the bucket of such a
-choice of blocks.  Within a bucket fingerprints are sorted by Gray rank and
-windows of FAN neighbours become nodes that hold the bits all of them share;
-what a parent holds is factored out of its children.  A search walks down with
-the differences so far and drops a node, with all below it, beyond max_bits.
-Buckets emit a spanning forest of their links, never all pairs, and nodes
-whose members are already one component with the searcher are dropped too.
+The index: fingerprints are sorted by Gray rank and cut into ranges of about
+GROUP.  A range is a node that holds the bits all its fingerprints share; FAN
+neighbours at a time become the nodes above, and what a parent holds is
+factored out of its children.  The ranges' nodes with those above them are the
+directory, at most about DIRECTORY entries.  A search walks down with the
+differences so far and drops a node, with all below it, beyond max_bits: first
+every range through the directory, which leaves the pairs of ranges that may
+hold a link, then within such a pair one range's fingerprints through the
+nodes of the other.  Both are exact.  A pair of ranges emits a spanning forest
+of its links, never all of them, and nodes whose members are already one
+component with the searcher are dropped too.
 
 Components are found by contraction to least neighbours, with the tables
-written to the shared folder each round; nothing is gathered on the driver.
+written to the shared folder each round; nothing is gathered on the driver but
+the directory.
 
 Defined results: null or empty text, and text without words, has fingerprint
 zero; fewer words than a shingle are one shingle; equal fingerprints are one
@@ -26,22 +29,27 @@ it is alone; empty tables give empty tables; further columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialised
+from .common import appended, materialised
 
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
 FAN = 8
-#: Fingerprints of a bucket above which its block choices are refined, and
-#: searchers that are in memory at a time.
-HOT_BUCKET, SEARCHERS = 4096, 1024
+#: Fingerprints of a range and the least number of ranges, entries of the
+#: directory, and searchers that are in memory at a time.
+GROUP, RANGES, DIRECTORY, SEARCHERS = 1 << 16, 16, 1 << 20, 256
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows that the least of a component is dealt to, against large components.
+SALTS = 16
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -69,21 +77,28 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rank_column(fp: Column) -> Column:
+    """``gray_rank`` of a long column, as a long of the same order."""
+    for k in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, k))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def shared_bits(pattern: np.ndarray, mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern, mask) of the bits that all of each run from ``at`` on holds alike."""
+    ones, any_ = np.bitwise_and.reduceat(pattern, at), np.bitwise_or.reduceat(pattern, at)
+    common = np.bitwise_and.reduceat(mask, at) & ~(ones ^ any_)
+    return ones & common, common
+
+
 class GrayIndex:
-    """Nodes over fingerprints in Gray order, top level last."""
-
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        self.leaves = fps[self.order]
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        pattern, mask = self.leaves, np.full(len(fps), full)
-        levels = [(pattern, mask)]
+    """Nodes over leaves (pattern, mask) that are in Gray order, top level last."""
+
+    def __init__(self, pattern: np.ndarray, mask: np.ndarray | None = None):
+        mask = np.full(len(pattern), FULL) if mask is None else mask
+        self.size, levels = len(pattern), [(pattern, mask)]
         while len(pattern) > 1:
-            at = np.arange(0, len(pattern), FAN)
-            common = np.bitwise_and.reduceat(mask, at)
-            ones, any_ = np.bitwise_and.reduceat(pattern, at), np.bitwise_or.reduceat(pattern, at)
-            shared = common & ~(ones ^ any_)
-            pattern, mask = ones & shared, shared
+            pattern, mask = shared_bits(pattern, mask, np.arange(0, len(pattern), FAN))
             levels.append((pattern, mask))
         # A child keeps only what its parent doesn't hold.
         self.levels = []
@@ -92,21 +107,22 @@ class GrayIndex:
             own = mask & ~above
             self.levels.append((pattern & own, own))
 
-    def search(self, queries: np.ndarray, first: np.ndarray, most: int, joined=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, leaf position) of at most ``most`` differing bits, with
-        leaf positions from first[query] on.  joined(level, nodes, queries):
-        True where nothing below can add to the components."""
-        for a in range(0, len(queries), SEARCHERS):
-            q = np.arange(a, min(a + SEARCHERS, len(queries)))
+    def search(self, pattern: np.ndarray, mask: np.ndarray | None, first: np.ndarray, most: int, joined=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, leaf) of at most ``most`` differing bits among those
+        that both hold, with leaves from first[query] on.  joined(level, nodes,
+        queries): True where nothing below can add to the components."""
+        for a in range(0, len(pattern) if self.size else 0, SEARCHERS):
+            q = np.arange(a, min(a + SEARCHERS, len(pattern)))
             node, diff = np.zeros(len(q), np.int64), np.zeros(len(q), np.uint8)
             for level in range(len(self.levels) - 1, -1, -1):
-                pattern, mask = self.levels[level]
+                held, own = self.levels[level]
                 if level < len(self.levels) - 1:
                     q, diff = np.repeat(q, FAN), np.repeat(diff, FAN)
                     node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                    live = node < len(pattern)
+                    live = node < len(held)
                     q, node, diff = q[live], node[live], diff[live]
-                diff = diff + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
+                apart = (pattern[q] ^ held[node]) & own[node]
+                diff = diff + np.bitwise_count(apart if mask is None else apart & mask[q])
                 keep = (diff <= most) & ((node + 1) * FAN**level > first[q])
                 if joined is not None and level:
                     keep &= ~joined(level, node, q)
@@ -121,104 +137,97 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges (positions) of a spanning forest of the links among distinct fingerprints."""
-    n = len(fps)
-    if n <= 32:
-        a, b = np.triu_indices(n, 1)
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= most
-        pairs, order = [(a[near], b[near])], None
-    else:
-        index = GrayIndex(fps)
-        order = index.order
-        parent_now = np.arange(n)
+def forest(fps: np.ndarray, most: int, others: np.ndarray | None = None) -> np.ndarray:
+    """Edges (rows of two fingerprints) of a spanning forest of the links among
+    distinct fingerprints, or between them and ``others``."""
+    leaves = fps if others is None else others
+    leaves = leaves[np.argsort(gray_rank(leaves), kind="stable")]
+    queries = leaves if others is None else fps[np.argsort(gray_rank(fps), kind="stable")]
+    n, index = len(leaves), GrayIndex(leaves)
+    shift, first = (0, np.arange(1, n + 1)) if others is None else (n, np.zeros(len(queries), np.int64))
+    label = np.arange(shift + len(queries))  # of leaves, then of queries that aren't leaves
+    ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def joined(level: int, node: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def joined(level: int, node: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if level not in ends:
             at = np.arange(0, n, FAN**level)
-            low, high = np.minimum.reduceat(parent_now, at), np.maximum.reduceat(parent_now, at)
-            return (low[node] == high[node]) & (low[node] == parent_now[q])
-
-        pairs = index.search(index.leaves, np.arange(1, n + 1), most, joined)
-    parent, edges = list(range(n)), []
-    for a, b in pairs:
-        new = False
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            rx, ry = _root(parent, x), _root(parent, y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                edges.append((x, y))
-                new = True
-        if order is not None and new:
-            parent_now[:] = [_root(parent, i) for i in range(n)]
-    return edges if order is None else [(int(order[x]), int(order[y])) for x, y in edges]
-
-
-def block_masks(max_bits: int, agree: int) -> list[int]:
-    """Masks of the choices of ``agree`` among max_bits + agree blocks of the 64 bits."""
-    n = max_bits + agree
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, agree)]
+            ends[level] = np.minimum.reduceat(label[:n], at), np.maximum.reduceat(label[:n], at)
+        low, high = ends[level]
+        return (low[node] == high[node]) & (low[node] == label[shift + q])
+
+    edges = [np.zeros((0, 2), np.uint64)]
+    for q, leaf in index.search(queries, None, first, most, joined):
+        if not len(q):
+            continue
+        order = np.argsort(q, kind="stable")
+        each, cut = np.unique(q[order], return_index=True)
+        for x, near in zip(each.tolist(), np.split(leaf[order], cut[1:]), strict=True):
+            names, at = np.unique(label[near], return_index=True)
+            new = names != label[shift + x]
+            if new.any():
+                edges.append(np.stack([np.full(int(new.sum()), queries[x]), leaves[near[at[new]]]], 1))
+                every = np.append(names, label[shift + x])
+                label[np.isin(label, every)] = every.min()
+                ends.clear()
+    return np.concatenate(edges)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, agree: int = 1, hot: int = HOT_BUCKET) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` of
-    ``fps`` that links connect; at most a forest for each bucket.
-
-    A bucket of more than ``hot`` fingerprints is dealt anew by the choices of
-    agree + 1 blocks of max_bits + agree + 1 within it, once; those are all
-    the links of the bucket again."""
-    masks, finer = block_masks(max_bits, agree), block_masks(max_bits, agree + 1)
-    keyed = lambda df, ms: df.select("fp", *df.columns[1:], F.posexplode(F.array(*(F.lit(_signed(m)) for m in ms))).alias("t", "m")).withColumn("v", F.col("fp").bitwiseAND(F.col("m"))).drop("m")
-    coarse = keyed(fps, masks)
-    crowded = coarse.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n")
-    many = materialised(crowded, "simhash-crowded")
-    if many.limit(1).count():
-        coarse = coarse.join(many, ["t", "v"], "left_anti").select("fp", "t", "v", F.lit(-1).alias("u"), F.lit(0).cast("long").alias("w"))
-        again = keyed(fps, masks).join(many, ["t", "v"], "left_semi").select("fp", F.col("t").alias("t0"), F.col("v").alias("v0"))
-        again = keyed(again, finer).select("fp", F.col("t0").alias("t"), F.col("v0").alias("v"), F.col("t").alias("u"), F.col("v").alias("w"))
-        coarse = coarse.unionByName(again)
-    else:
-        coarse = coarse.withColumns({"u": F.lit(-1), "w": F.lit(0).cast("long")})
-    dealt = coarse.repartition("t", "v", "u", "w").sortWithinPartitions("t", "v", "u", "w")
+def ranges(fps: DataFrame, group: int = GROUP) -> DataFrame:
+    """(grp, pattern, mask, data): the ranges of distinct fingerprints ``fp`` in
+    Gray order, each with its node and its fingerprints (u64)."""
+    n = fps.count()
+    size = max(group, -(-n // DIRECTORY))
+    dealt = fps.select("fp", rank_column(F.col("fp")).alias("rank")).repartitionByRange(max(RANGES, -(-n // size)), "rank").sortWithinPartitions("rank").select("fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        key = None
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, found = TaskContext.get().partitionId(), [np.asarray(b.column("fp")).view(np.uint64) for b in batches]
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        for k, a in enumerate(range(0, len(every), 2 * size)):  # ranges are cut by a sample
+            mine = every[a : a + 2 * size]
+            pattern, mask = shared_bits(mine, np.full(len(mine), FULL), np.array([0]))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k]), pa.array(pattern.view(np.int64)), pa.array(mask.view(np.int64)), pa.array([mine.tobytes()], pa.binary())], names=["grp", "pattern", "mask", "data"])
+
+    return materialised(dealt.mapInArrow(gather, "grp long, pattern long, mask long, data binary"), "simhash-ranges")
 
-        def edges(groups: list[np.ndarray]) -> pa.RecordBatch | None:
-            out = [np.array([(g[x], g[y]) for x, y in forest(g, max_bits)], np.uint64) for g in groups]
-            out = [x for x in out if len(x)]
-            if not out:
-                return None
-            flat = np.concatenate(out).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
 
+def near_ranges(held: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs (a, b) of ranges that may hold a link, by a search of the
+    directory; each range also with itself."""
+    nodes = sorted(tuple(r) for r in held.select("grp", "pattern", "mask").collect())  # at most about DIRECTORY
+    grp, pattern, mask = (np.array(x, np.int64) for x in (zip(*nodes, strict=True) if nodes else ((), (), ())))
+    handle = held.sparkSession.sparkContext.broadcast((grp, pattern.view(np.uint64), mask.view(np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, pattern, mask = handle.value
+        index = GrayIndex(pattern, mask)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("t", "v", "u", "w")], 1)
-            fp = np.asarray(batch.column("fp")).view(np.uint64)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            parts = np.split(fp, cuts)
-            if key is not None and (keys[0] == key).all():
-                held.append(parts[0])
-                parts = parts[1:]
-                if not parts:
-                    continue
-            done = [np.concatenate(held)] if held else []
-            done += parts[:-1]
-            held, key = [parts[-1]], keys[-1]
-            if (found := edges([g for g in done if len(g) > 1])) is not None:
-                yield found
-        if held and (found := edges([g for g in [np.concatenate(held)] if len(g) > 1])) is not None:
-            yield found
-
-    return dealt.mapInArrow(run, "a long, b long")
+            at = np.searchsorted(grp, np.asarray(batch.column("grp")))
+            for q, leaf in index.search(pattern[at], mask[at], at, max_bits):
+                one, two = at[q], leaf
+                turn = (one + two) % 2 == 1  # so that each range meets about half of its partners as b
+                yield pa.RecordBatch.from_arrays([pa.array(grp[np.where(turn, two, one)]), pa.array(grp[np.where(turn, one, two)])], names=["a", "b"])
+
+    return held.select("grp").repartition("grp").mapInArrow(run, "a long, b long")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` of
+    ``fps`` that links connect; a forest for each pair of ranges."""
+    held = ranges(fps, group)
+    pairs = materialised(near_ranges(held, max_bits), "simhash-pairs")
+    side = lambda key, where: pairs.where(where).join(held.select(F.col("grp").alias(key), "data"), key).select("a", "b", F.lit(key).alias("side"), "data")
+    met = side("a", "true").unionByName(side("b", "a <> b"))
+
+    def join(pair: pa.Table) -> pa.Table:
+        data = {s: np.frombuffer(d, np.uint64) for s, d in zip(pair.column("side").to_pylist(), pair.column("data").to_pylist(), strict=True)}
+        found = forest(data["a"], max_bits, data.get("b")).view(np.int64)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return met.groupBy("a", "b").applyInArrow(join, "a long, b long")
 
 
 #: Edges that one task finishes alone; more are contracted first.
@@ -256,8 +265,8 @@ def components(edges: DataFrame, finish: int = FINISH_EDGES) -> DataFrame:
     last = edges.groupBy(F.lit("all").alias("one")).applyInPandas(join, "node long, root long")
     if labels is None:
         return last
-    ends = materialised(last, "cc-last")
-    return labels.join(ends.select(F.col("node").alias("root"), F.col("root").alias("r")), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
+    ends = materialised(last, "cc-last")  # at most two nodes for each of ``finish`` edges
+    return labels.join(F.broadcast(ends.select(F.col("node").alias("root"), F.col("root").alias("r"))), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
 
 
 def with_fingerprint(df: DataFrame, name: str = "fp", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -268,26 +277,28 @@ def with_fingerprint(df: DataFrame, name: str = "fp", text: str = "text", shingl
             for a in range(0, full.num_rows, 512):
                 batch = full.slice(a, 512)
                 fps = np.array([fingerprint(t or "", shingle, seed) for t in batch.column(text).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, name])
+                yield appended(batch, {name: pa.array(fps.view(np.int64))})
 
     kept = df.drop(name)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-    return kept.mapInArrow(run, ", ".join([*fields, f"`{name}` long"]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def least_of_components(fps: DataFrame, value: str, max_bits: int = MAX_BITS, agree: int = 1) -> DataFrame:
-    """(fp, root, least): the component of every distinct ``fp`` and the least
-    ``value`` (not null first) among the rows of its component."""
+def least_of_components(fps: DataFrame, value: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, least): of every distinct ``fp`` the least ``value`` (null last)
+    among the rows of its component."""
     distinct = materialised(fps.groupBy("fp").agg(F.min(value).alias("own")), "simhash-distinct")
-    roots = materialised(components(links(distinct.select("fp"), max_bits, agree)), "simhash-roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("own").alias("least"))
-    return named.select("fp", "root").join(least, "root")
+    roots = materialised(components(links(distinct.select("fp"), max_bits)), "simhash-roots")
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    alone = named.where("root IS NULL").select("fp", F.col("own").alias("least"))
+    several = named.where("root IS NOT NULL")
+    least = several.groupBy("root").agg(F.min("own").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    several = several.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"])
+    return alone.unionByName(several.select("fp", "least"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, agree: int = 1, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the least doc_id reachable."""
     fps = materialised(fingerprints(docs, shingle, seed), "simhash-fps")
-    least = least_of_components(fps, "doc_id", max_bits, agree).select("fp", F.col("least").alias("component_id"))
+    least = least_of_components(fps, "doc_id", max_bits).withColumnRenamed("least", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return fps.join(least, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

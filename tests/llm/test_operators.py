@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinlink.llm import audio, bpe, chat, langid, packing, quality, queries, simhash, substrings, tokenstore, urlfilter
-from kinlink.llm.common import quiet_tokenizer
+from kinlink.llm.common import materialised, quiet_tokenizer
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 ODD = ["", None, " ", "\n\n", "a  b", "x\ty z", "it's 12 345.", "<|endoftext|>", "é" * 300, "İstanbul ΣΣ", "a\x1cb\x85c", "日本語 テキスト", "éa .́"]
@@ -116,47 +116,92 @@ def test_quality_counts(spark, data):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
-def brute_distances(x):
-    """The estimate of one group on rows of scaled integers, with numpy."""
-    y = x / quality.SCALE
-    q = np.quantile(x, (0.25, 0.5, 0.75), axis=0) / quality.SCALE
-
-    def factor(cov):
-        low = np.zeros_like(cov)
-        for i in range(len(cov)):
-            for j in range(i + 1):
-                left = cov[i, j] - low[i, :j] @ low[j, :j]
-                low[i, j] = max(np.sqrt(max(left, 0)), quality.FLOORS[i]) if i == j else left / low[j, j]
-        return np.linalg.inv(low)
-
-    c, w = q[1], factor(np.diag(((q[2] - q[0]) / 1.349) ** 2))
+def brute_vector(t):
+    w = re.findall("[^\x20\x09-\x0d]+", t or "")
+    n, chars = len(w), sum(map(len, w))
+    marks, capitals = (len(re.findall(x, t or "")) for x in (r"[!-/0-9:-@\[-`{-~]", "[A-Z]"))
+    raw = [np.log1p(n), np.log(chars / n), np.log((marks + 1) / (chars + 1)), np.log((capitals + 1) / (chars + 1)), np.log(len(set(w)) / n)]
+    return np.floor(np.array(raw) * quality.SCALE + 0.5)
+
+
+def inverse_factor(cov):
+    low = np.zeros_like(cov)
+    for i in range(len(cov)):
+        for j in range(i + 1):
+            left = cov[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = np.sqrt(max(left, quality.RIDGE * cov[i, i], quality.ROUNDING)) if i == j else left / low[j, j]
+    return np.linalg.inv(low)
+
+
+def brute_distances(x, groups):
+    """The distance of every row of scaled integers, with numpy; groups: (lang, source) of each."""
+    y, k = x / quality.SCALE, quality.PRIOR
+    keys = [[(), (g[0],), g] for g in groups]
+    every = sorted({q for row in keys for q in row}, key=len)
+    at = {g: np.array([i for i, row in enumerate(keys) if g in row]) for g in every}
+
+    def squared(par, rows):
+        return (((y[rows] - par[0]) @ par[1].T) ** 2).sum(1)
+
+    def bins(par, rows):
+        return np.floor(np.log(squared(par, rows) + 1e-9) * quality.BINS_PER_E)
+
+    params = {}
+    for g in every:
+        z = y[at[g]]
+        q = np.quantile(z, (0.25, 0.5, 0.75), axis=0)
+        width = np.sqrt(np.maximum(((q[2] - q[0]) / 1.349) ** 2, quality.ROUNDING))
+        pressed = np.cov(np.tanh((z - q[1]) / width).T, bias=True)
+        sd = np.sqrt(np.maximum(np.diag(pressed), quality.ROUNDING))
+        params[g] = [(q[1], inverse_factor(np.diag(width**2))), (z.mean(0), inverse_factor(np.cov(z.T, bias=True))), (q[1], inverse_factor(pressed / np.outer(sd, sd) * np.outer(width, width)))]
     for _ in range(quality.STEPS):
-        bins = np.floor(np.log((((y - c) @ w.T) ** 2).sum(1) + 1e-9) * quality.BINS_PER_E)
-        want = np.ceil(len(y) * quality.SUBSET)
-        cut = next(b for b in np.unique(bins) if (bins <= b).sum() >= want)
-        inner = y[bins <= cut]
-        c, w = inner.mean(0), factor(np.cov(inner.T, bias=True))
-    d = (((y - c) @ w.T) ** 2).sum(1)
-    bins = np.floor(np.log(d + 1e-9) * quality.BINS_PER_E)
-    half = next(b for b in np.unique(bins) if (bins <= b).sum() >= len(y) / 2)
-    return d * min(1.0, quality.CHI_MEDIAN / np.exp((half + 0.5) / quality.BINS_PER_E))
+        mean = {}
+        for g in every:
+            for s, par in enumerate(params[g]):
+                b = bins(par, at[g])
+                cut = next(c for c in np.unique(b) if (b <= c).sum() >= np.ceil(len(b) * quality.SUBSET))
+                inner = y[at[g][b <= cut]]
+                m, c = inner.sum(0), inner.T @ inner
+                up = mean.get((g[:-1], s)) if g else None
+                n = len(inner) + (k if g else 0)
+                mean[g, s] = ((m + k * up[0]) / n, (c + k * up[1]) / n) if g else (m / n, c / n)
+        params = {g: [(mean[g, s][0], inverse_factor(mean[g, s][1] - np.outer(mean[g, s][0], mean[g, s][0]))) for s in range(3)] for g in every}
+    best = {g: min(enumerate(params[g]), key=lambda p: (round(-2 * np.log(np.diag(p[1][1])).sum(), 9), quality.STARTS[p[0]]))[1] for g in every}
+    away = {}
+    for g in every:
+        b = bins(best[g], at[g])
+        half = next(c for c in np.unique(b) if (b <= c).sum() >= len(b) / 2)
+        mine = np.log(quality.CHI_MEDIAN) - (half + 0.5) / quality.BINS_PER_E
+        away[g] = (len(b) * mine + k * away[g[:-1]]) / (len(b) + k) if g else mine
+    return np.array([squared(best[g], [i])[0] * min(1, np.exp(away[g])) for i, g in enumerate(groups)])
 
 
 def test_quality_estimate(spark, data):
-    rows = table(spark, data, "documents").select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"))
+    """Several languages and sources, small and large, against numpy."""
+    rows = table(spark, data, "documents").select("doc_id", "text", "lang", F.when(F.col("doc_id") % 7 < 4, "a").when(F.col("doc_id") % 7 < 6, "b").otherwise(F.lit(None)).alias("source"))
+    texts = {r.doc_id: r for r in rows.collect()}
     got = quality.documents_quality(rows).toPandas()
     fit = got[~got.base_failed]
-    n = np.maximum(fit.n_words, 1)
-    raw = np.stack([np.log1p(fit.n_words), np.log1p(fit.word_chars / n), np.log1p(100 * fit.n_symbols / np.maximum(fit.word_chars, 1)), np.log1p(fit.n_dup_lines), fit.n_repeat_words / n], 1)
-    want = brute_distances(np.floor(raw * quality.SCALE + 0.5))
-    assert len(fit) >= quality.MIN_GROUP and np.allclose(fit.distance, want, rtol=1e-6, atol=1e-9)
+    want = brute_distances(np.array([brute_vector(texts[i].text) for i in fit.doc_id]), [(texts[i].lang or "", texts[i].source or "") for i in fit.doc_id])
+    assert len(fit) >= 100 and np.allclose(fit.distance, want, rtol=1e-6, atol=1e-9)
     assert (got.kept == (~got.base_failed & (got.distance <= quality.CUTOFF))).all()
 
 
+def test_quality_rejects_what_is_labelled_poor(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality.documents_quality(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").where("NOT base_failed").toPandas()
+    assert got[got.quality == 1].kept.mean() >= 0.95 and got[got.quality == 0].kept.mean() <= 0.1
+
+
 def test_quality_edges(spark):
-    few = docs(spark, [*ODD, "w " * 60]).withColumn("kept", F.lit("clash"))
-    got = quality.documents_quality(few).toPandas()
-    assert got.distance.isna().all() and (got.kept == ~got.base_failed).all()
+    prose = [" ".join(f"word{(7 * k + j) % 90}" for j in range(60 + k)) + "." for k in range(5)]
+    few = docs(spark, [*ODD, *prose, prose[0]]).withColumns({k: F.lit("clash") for k in ("kept", "grp", "scale", "par", "x0", "my col", "start")})
+    counted = materialised(quality.with_counts(few), "few")
+    got = quality.assess(counted).toPandas()
+    assert list(got.columns) == [c for c in counted.columns if c != "kept"] + ["distance", "kept"]
+    assert (got["grp"] == "clash").all() and (got["x0"] == "clash").all() and (got.kept == ~got.base_failed).all()
+    none = quality.documents_quality(docs(spark, ODD)).toPandas()
+    assert none.distance.isna().all() and not none.kept.any()
     assert quality.documents_quality(few.limit(0)).count() == 0
 
 
@@ -180,27 +225,51 @@ def brute_components(fps, most):
     return name
 
 
-@pytest.mark.parametrize("most", [3, 8])
-def test_gray_forest(most):
-    r = np.random.default_rng(most)
-    base = r.integers(0, 2**63, 12, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base] + [base ^ np.uint64(sum(1 << int(b) for b in r.integers(0, 64, 3))) for _ in range(25)]))
-    edges = simhash.forest(fps, most)
-    name = list(range(len(fps)))
+def close_fingerprints(seed, bases, copies, bits):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**64, bases, dtype=np.uint64)
+    return np.unique(np.concatenate([base] + [base ^ np.array([sum({1 << int(b) for b in r.integers(0, 64, bits)}) for _ in range(bases)], np.uint64) for _ in range(copies)]))
+
+
+def grouped(fps, edges, most):
+    """Components by the edges, as ``brute_components`` names them."""
+    name, at = list(range(len(fps))), {int(x): k for k, x in enumerate(fps)}
     for a, b in edges:
-        assert (int(fps[a]) ^ int(fps[b])).bit_count() <= most
-        x, y = name[a], name[b]
+        assert (int(a) ^ int(b)).bit_count() <= most
+        x, y = name[at[int(a)]], name[at[int(b)]]
         name = [min(x, y) if n in (x, y) else n for n in name]
-    assert name == brute_components(fps.tolist(), most)
+    return name
 
 
-@pytest.mark.parametrize("agree,hot,finish", [(1, 4096, 10**6), (2, 4, 3)])
-def test_links_and_components(spark, agree, hot, finish):
-    r = np.random.default_rng(5)
-    base = r.integers(0, 2**63, 10, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base] + [base ^ np.uint64(sum(1 << int(b) for b in r.integers(0, 64, 2))) for _ in range(8)]))
+@pytest.mark.parametrize("most", [0, 3, 8])
+def test_gray_forest(most):
+    fps = close_fingerprints(most, 12, 25, 3)
+    assert grouped(fps, simhash.forest(fps, most), most) == brute_components(fps.tolist(), most)
+    half = len(fps) // 2
+    one, two = fps[::2], fps[1::2]
+    edges = np.concatenate([simhash.forest(one, most), simhash.forest(two, most), simhash.forest(one, most, two)])
+    assert half and grouped(fps, edges, most) == brute_components(fps.tolist(), most)
+
+
+def test_gray_search_prunes_masked_groups():
+    fps = np.sort(close_fingerprints(1, 200, 5, 2))
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    cuts = np.arange(0, len(fps), 16)
+    pattern, mask = simhash.shared_bits(fps, np.full(len(fps), simhash.FULL), cuts)
+    found = set()
+    for q, leaf in simhash.GrayIndex(pattern, mask).search(pattern, mask, np.zeros(len(cuts), np.int64), 1):
+        found |= set(zip(q.tolist(), leaf.tolist()))
+    near = {(a // 16, b // 16) for a in range(len(fps)) for b in range(len(fps)) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 1}
+    assert near <= found and len(found) < len(cuts) ** 2 / 2
+
+
+@pytest.mark.parametrize("group,finish", [(1 << 16, 10**6), (16, 3)])
+def test_links_and_components(spark, group, finish):
+    fps = close_fingerprints(5, 10, 8, 2)
     rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    got = {x.node: x.root for x in simhash.components(simhash.links(rows, 3, agree, hot), finish).collect()}
+    ranks = [r.k for r in rows.select("fp", simhash.rank_column(F.col("fp")).alias("k")).orderBy("fp").collect()]
+    assert [k + 2**63 for k in ranks] == simhash.gray_rank(np.sort(fps.view(np.int64)).view(np.uint64)).tolist()
+    got = {x.node: x.root for x in simhash.components(simhash.links(rows, 3, group), finish).collect()}
     signed, name = fps.view(np.int64).tolist(), brute_components(fps.tolist(), 3)
     groups, mine = collections.defaultdict(set), collections.defaultdict(set)
     for x, n in zip(signed, name):
@@ -209,6 +278,17 @@ def test_links_and_components(spark, agree, hot, finish):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_index_serves_all_links(spark):
+    """On sf0.01, with near copies of a tenth of its fingerprints, every link
+    comes out of the index, as comparing all pairs finds them."""
+    fps = simhash.fingerprints(table(spark, "/root/testdata/sf0.01", "documents")).select("fp").distinct()
+    near = fps.where(F.pmod("fp", F.lit(10)) == 0).select(F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(x)) for x in (1 << 40, 7 << 20, -(1 << 63) | 5)))).alias("fp"))
+    fps = materialised(fps.unionByName(near).distinct(), "fps")
+    every = np.array([r.fp for r in fps.collect()], np.int64).view(np.uint64)
+    edges = np.array([tuple(r) for r in simhash.links(fps).collect()], np.int64).reshape(-1, 2).view(np.uint64)
+    assert grouped(every, edges, 3) == brute_components(every.tolist(), 3) and len(edges)
+
+
 def test_simhash_query(spark, data):
     rows = table(spark, data, "documents").select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(ODD)] + [(10**6 + 50, LONG)], "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in rows.collect()}
@@ -315,7 +395,7 @@ def test_packing(spark):
     frame = docs(spark, texts)
     tok = quiet_tokenizer(queries.PIECES)
     want = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
-    got = packing.checked(packing.pack(frame, queries.PIECES, queries.PATTERN, group_docs=4)).collect()
+    got = packing.checked(packing.pack(frame, queries.PIECES, queries.PATTERN, group_tokens=40)).collect()
     at = collections.defaultdict(int)
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at[r.sequence_id]
