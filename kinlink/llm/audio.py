@@ -7,10 +7,12 @@ histogram of the offsets between equal codes (their leading ALIGN_BITS bits);
 the share of differing bits over the overlap tells whether they match, at the
 fullest offset that passes.
 
-Searches take the recordings whose id is divisible by QUERY_EVERY, in blocks
-of about BLOCK, against all rows: a block's fingerprints are broadcast.  A row
-has all its matches as one list, the best first, so no table of pairs is made;
-the lists of a group of copies still hold copies x queries entries.
+Searches take the recordings whose id is divisible by QUERY_EVERY against all
+rows.  Queries are dealt to blocks and rows to chunks of bounded bytes, and
+every block meets every chunk in one task, where an inverted index from codes
+to places in the block's queries makes the histograms; nothing reaches the
+driver.  A row has all its matches as one list, the best first, so no table of
+pairs is made; the lists of a group of copies still hold copies x queries entries.
 
 Defined results: null, undecodable or too short recordings have no codes and
 no match; a recording isn't matched with its own id; ties go to the smaller
@@ -38,7 +40,9 @@ FILTERS = [(k % 6, (5 * k) % 12 // 2, 3 + k % 4, 4 + (3 * k) % 12) for k in rang
 SPAN = max(f[3] for f in FILTERS)
 THRESHOLD = 0.1
 ALIGN_BITS, MIN_VOTES, MIN_OVERLAP, MAX_ERRORS = 20, 3, 16, 0.25
-QUERY_EVERY, BLOCK = 100, 1024
+QUERY_EVERY = 100
+#: Bytes of fingerprints in a block of queries and in a chunk of rows.
+BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
 MATCHES = pa.list_(pa.struct([("errors", pa.float64()), ("id", pa.int64()), ("offset", pa.int64())]))
 
 
@@ -177,29 +181,26 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.col("vec_id").cast("long").alias("vec_id"), "audio").mapInArrow(run, "vec_id long, codes binary")
 
 
-def search(prints: DataFrame) -> DataFrame:
+def search(prints: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """vec_id, n_codes, codes_crc32, the best match among the queries of
     ``prints`` (a written table): match_id, match_offset, match_errors; and all
     of them, the best first: n_matches, matches (errors, id, offset)."""
     rows = materialised(prints.withColumn("uid", F.monotonically_increasing_id()), "audio-prints")
     wanted = rows.where((F.col("vec_id") % QUERY_EVERY == 0) & (F.octet_length("codes") > 0))
-    blocks = max(1, -(-wanted.count() // BLOCK))
-    spark, out = rows.sparkSession, None
-    for k in range(blocks):
-        block = [(r["vec_id"], np.frombuffer(r["codes"], "<u4")) for r in wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select("vec_id", "codes").collect()]
-        handle = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(handle.value)
-            for batch in batches:
-                for a in range(0, batch.num_rows, 256):  # bounded memory for long lists
-                    some = batch.slice(a, 256)
-                    found = [(u, m) for u, i, c in zip(*(some.column(x).to_pylist() for x in ("uid", "vec_id", "codes")), strict=True) if (m := searcher.matches(i, np.frombuffer(c, "<u4")))]
-                    lists = pa.array([[dict(zip(("errors", "id", "offset"), x, strict=True)) for x in m] for _, m in found], MATCHES)
-                    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), lists], names=["uid", "part"])
-
-        part = rows.mapInArrow(run, "uid long, part array<struct<errors: double, id: bigint, offset: bigint>>")
-        out = part if out is None else out.unionByName(part)
+    size = lambda d, each: max(1, -(-int(d.agg(F.sum(F.octet_length("codes").cast("long")).alias("n")).first()["n"] or 0) // each))
+    blocks, chunks = size(wanted, block_bytes), max(size(rows, CHUNK_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deal = lambda d, n: F.pmod(F.xxhash64(F.lit(1), "uid"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = wanted.select(F.col("vec_id").alias("query"), F.col("codes").alias("theirs"), deal(wanted, blocks).alias("block"), every(chunks).alias("chunk"))
+    met = rows.where(F.octet_length("codes") > 0).select("uid", "vec_id", "codes", deal(rows, chunks).alias("chunk"), every(blocks).alias("block"))
+
+    def meet(some: pa.Table, block: pa.Table) -> pa.Table:
+        searcher = Searcher([(q, np.frombuffer(c, "<u4")) for q, c in zip(block.column("query").to_pylist(), block.column("theirs").to_pylist(), strict=True)])
+        found = [(u, m) for u, i, c in zip(*(some.column(x).to_pylist() for x in ("uid", "vec_id", "codes")), strict=True) if (m := searcher.matches(i, np.frombuffer(c, "<u4")))]
+        lists = pa.array([[dict(zip(("errors", "id", "offset"), x, strict=True)) for x in m] for _, m in found], MATCHES)
+        return pa.table({"uid": pa.array([u for u, _ in found], pa.int64()), "part": lists})
+
+    out = met.groupBy("chunk", "block").cogroup(queries.groupBy("chunk", "block")).applyInArrow(meet, "uid long, part array<struct<errors: double, id: bigint, offset: bigint>>")
     every = out.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("matches"))
     joined = rows.join(every, "uid", "left").withColumn("m", F.get("matches", F.lit(0)))
     best = [F.col("m.id").alias("match_id"), F.col("m.offset").alias("match_offset"), F.col("m.errors").alias("match_errors")]
