@@ -3,7 +3,9 @@
 A shard holds the ids of some documents in doc_id order.  Every id is cut into
 chunks of CHUNK_BITS bits, least first; level k holds chunk k of the ids that
 have one, a bitmap telling which go on, and a rank directory, so that any id
-is reached with one rank a level and no other id is decoded.
+is reached with one rank a level and no other id is decoded.  The store is
+Parquet without compression or dictionaries, one shard a row group, so that a
+shard's bytes lie in one piece: ``token_at`` reads a few ranges of the file.
 
 Layout of a shard, little-endian: magic "DAC1", u32 levels, u64 ids; then for
 each level u64 chunks, the chunks (u8), the bitmap (u64 words) and the
@@ -16,12 +18,14 @@ empty tables give an empty store; further columns of the input aren't read.
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,7 +108,9 @@ def encoder(path: str) -> BatchEncoder:
 
 #: Shards up to which their offsets are broadcast.
 SMALL_SHARDS = 100_000
-STORE = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, data binary"
+STORE = "part int, seq int, n_ids long, first_id long, last_id long, doc_ids array<bigint>, lengths array<bigint>, data binary"
+#: One row a row group, its bytes as they are.
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
@@ -122,8 +128,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None
 
         def shard() -> pa.RecordBatch:
             flat = np.concatenate(ids)
-            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([DirectlyAddressable.pack(flat)], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "n_ids", "doc_ids", "lengths", "data"])
+            numbers = [pa.array([x], pa.int64()) for x in (len(flat), docs_[0], docs_[-1])]
+            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *numbers, pa.array([docs_], pa.list_(pa.int64())), pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([DirectlyAddressable.pack(flat)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "n_ids", "first_id", "last_id", "doc_ids", "lengths", "data"])
 
         held = 0
         for batch in batches:
@@ -139,7 +146,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None
         if ids:
             yield shard()
 
-    ordered.mapInArrow(run, STORE).write.parquet(path)
+    ordered.mapInArrow(run, STORE).write.options(**PLAIN).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -170,9 +177,97 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_store(spark, path).select("doc_ids", "lengths", "first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+class SharedFile(io.RawIOBase):
+    """A file of any store that Spark reaches, read by ranges on the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(path)
+        store = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.size, self.stream, self.jvm = store.getFileStatus(self.path).getLen(), store.open(self.path), jvm
+        self.at = self.bytes_read = 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = to + (0, self.at, self.size)[whence]
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        n = max(0, min(n if n >= 0 else self.size, self.size - self.at))
+        if not n:
+            return b""
+        self.stream.seek(self.at)
+        data = bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(self.stream, n))
+        self.at += n
+        self.bytes_read += n
+        return data
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
+def token_in(read, i: int) -> int:
+    """Id i of a shard by ranges: read(first byte, bytes)."""
+    _, levels, _ = struct.unpack("<4sIQ", read(0, 16))
+    at, value = 16, 0
+    for k in range(levels):
+        (m,) = struct.unpack("<Q", read(at, 8))
+        words = -(-m // 64)
+        bits, ranks = at + 8 + m, at + 8 + m + 8 * words
+        value |= read(at + 8 + i, 1)[0] << (k * CHUNK_BITS)
+        block = i // 64 // BLOCK_WORDS
+        before = i // 64 - block * BLOCK_WORDS
+        near = np.frombuffer(read(bits + 64 * block, 8 * (before + 1)), "<u8")
+        word = int(near[-1])
+        if not word >> (i % 64) & 1:
+            break
+        (rank,) = struct.unpack("<Q", read(ranks + 8 * block, 8))
+        i = rank + int(np.bitwise_count(near[:-1]).sum()) + (word & ((1 << i % 64) - 1)).bit_count()
+        at = ranks + 8 * (-(-words // BLOCK_WORDS) + 1)
+    return value
+
+
+def token_at(spark: SparkSession, path: str, doc_id: int, i: int) -> int:
+    """Id i of a document of the store, its end id included: the shard is found
+    by the ids of its documents, and of its codes only the few bytes that hold
+    the id are read.  Of equal doc_ids the first counts; IndexError where there is no such id."""
+    store = spark.read.schema(STORE).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    place = F.array_position("doc_ids", F.lit(doc_id).cast("long"))
+    found = store.where(place > 0).select("part", "seq", F.slice("lengths", F.lit(1), place.cast("int")).alias("lengths"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).orderBy("part", "seq").limit(1).collect()
+    if not found or not 0 <= i < found[0]["lengths"][-1]:
+        raise IndexError(f"document {doc_id} has no id {i}")
+    shard, i = found[0], i + sum(found[0]["lengths"][:-1])
+    with SharedFile(spark, shard["file"]) as f:
+        meta, row = pq.read_metadata(f), shard["row"]
+        group = next(g for g in range(meta.num_row_groups) if (row := row - meta.row_group(g).num_rows) < 0)
+        if meta.row_group(group).num_rows != 1:
+            raise ValueError("a row group holds several shards")
+        chunk = meta.row_group(group).column(meta.num_columns - 1)
+        begin = chunk.data_page_offset
+
+        def read(a: int, n: int) -> bytes:
+            f.seek(first + a)
+            return f.read(n)
+
+        # Header of the page, levels and the length come before the codes.
+        f.seek(begin)
+        first = begin + f.read(256).index(b"DAC1")
+        return token_in(read, i)
+
+
 def checked(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids' bytes."""
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-__all__ = ["DirectlyAddressable", "checked", "read_documents", "read_store", "write_store"]
+__all__ = ["DirectlyAddressable", "checked", "read_documents", "read_store", "token_at", "write_store"]
