@@ -7,9 +7,10 @@ smallest sum is chosen.  The score is the margin to the second: one less the
 ratio of the two sums.  A text is rejected when its score is below MIN_SCORE
 or it has no letters.
 
-The sample is bounded by SAMPLE_DOCS documents and SAMPLE_CHARS characters of
-each; it is the least (hash, doc_id) of a language, so it doesn't depend on
-partitioning.  Predictions read whole texts and nothing but the text.
+The sample is bounded: SAMPLE_DOCS rows of each of the LANGUAGES most frequent
+labels, whole texts, those of up to SAMPLE_BYTES first and then by (hash,
+doc_id), so it doesn't depend on partitioning.  Predictions read whole texts
+and nothing but the text.
 
 Defined results: null text, or text without letters, is ``und`` with score 0
 and rejected; with no labelled texts every text is ``und``; equal sums go to
@@ -25,19 +26,23 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SAMPLE_DOCS, SAMPLE_CHARS, LEVEL, CHUNK_BYTES = 96, 1600, 9, 1024
+from .common import appended
+
+SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES, LEVEL, CHUNK_BYTES = 96, 2048, 256, 9, 1024
 MIN_SCORE = 0.01
 UNKNOWN = "und"
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language from the bounded sample of ``labelled``
-    (columns doc_id, text, lang).  At most SAMPLE_DOCS rows a language reach the driver."""
+    (columns doc_id, text, lang).  At most SAMPLE_DOCS rows of LANGUAGES languages reach the driver."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    first = rows.select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id", F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    sample = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    first = rows.select(F.col(lang).alias("lang"), (F.octet_length(text) > SAMPLE_BYTES).alias("long"), F.xxhash64("doc_id").alias("h"), "doc_id", F.col(text).alias("text"))
+    most = first.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    order = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text")
+    sample = first.join(F.broadcast(most), "lang", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
     found: dict[str, list[tuple]] = {}
     for r in sample.select("lang", "n", "text").collect():
         found.setdefault(r["lang"], []).append((r["n"], r["text"]))
@@ -75,13 +80,12 @@ def predict(df: DataFrame, model: dict[str, bytes], text: str = "text") -> DataF
             for a in range(0, full.num_rows, 512):
                 batch = full.slice(a, 512)
                 found = [classify(t, handle.value) for t in batch.column(text).to_pylist()]
-                keep = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in new]
                 more = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s < MIN_SCORE for x, s in found], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([c for _, c in keep] + more, names=[n for n, _ in keep] + new)
+                yield appended(batch, dict(zip(new, more, strict=True)))
 
     kept = df.drop(*new)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-    return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))]))
 
 
 def held_out(doc_id: Column) -> Column:
