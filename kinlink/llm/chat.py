@@ -19,7 +19,7 @@ read.  A conversation is one row: its turns are gathered, whatever their number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
@@ -40,23 +40,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     example's number, loss_start (characters before the reply) and loss_end
     (characters of the example without its closing END)."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    parts = whole.select(
-        "conv_id",
-        F.transform("turns", lambda t: F.struct((t["role"] == TARGET).alias("target"), F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"))).alias("parts"),
-    )
-    tail = len(END) + 1
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("array<struct<example:int,loss_start:bigint,loss_end:bigint>>").alias("found"))
-
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + F.length(p["head"])
-        b = a + F.length(p["body"])
-        found = F.coalesce(acc["found"], F.array().cast("array<struct<example:int,loss_start:bigint,loss_end:bigint>>"))
-        mine = F.struct(F.size(found).alias("example"), a.alias("loss_start"), b.alias("loss_end"))
-        return F.struct((b + tail).alias("at"), F.when(p["target"], F.concat(found, F.array(mine))).otherwise(found).alias("found"))
-
+    head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+    rows = rows.withColumns({"head": head, "body": escape(F.col("text"))}).withColumns({"a": F.length("head").cast("long"), "b": F.length("body").cast("long")})
+    # Where a turn begins: the lengths before it, along the conversation.
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.col("a") + F.col("b") + len(END) + 1
+    rows = rows.withColumn("at", F.sum(size).over(order) - size)
+    part = F.struct("turn", "role", "text", "at", "head", "body", "a", "b")
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
-    return parts.select("conv_id", formatted.alias("formatted"), F.aggregate("parts", start, step, lambda acc: acc["found"]).alias("examples"))
+    replies = F.filter("parts", lambda p: p["role"] == TARGET)
+    examples = F.transform(replies, lambda p, i: F.struct(i.alias("example"), (p["at"] + p["a"]).alias("loss_start"), (p["at"] + p["a"] + p["b"]).alias("loss_end")))
+    return whole.select("conv_id", formatted.alias("formatted"), examples.alias("examples"))
 
 
 def expand(conversations: DataFrame) -> DataFrame:
