@@ -55,12 +55,17 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, host, blocked, n_matches, lists and since (the earliest date of
     an active entry) of ``captures`` (page_id, url, fetched_at)."""
     held = intervals(entries)
-    depth = held.agg(F.max("depth").alias("d")).first()["d"] or 0  # deeper prefixes match nothing
+    # Lengths of the patterns, in labels and segments: keys of other lengths, such
+    # as the last label that most hosts share, match nothing and aren't made.
+    kind, length = F.substring("key", 1, 1), F.when(F.col("key").startswith("d:"), F.size(F.split("key", "[.]"))).otherwise(F.col("depth"))
+    sizes = {k: sorted(v) for k, v in held.groupBy(kind.alias("kind")).agg(F.collect_set(length).alias("n")).collect()}
+    depth = max(sizes.get("p", [0]))
     seen = captures.select("url", "fetched_at").where(F.col("url").isNotNull()).distinct()
     parts = seen.withColumns({"host": host(F.col("url")), "segs": F.slice(segments(F.col("url")), 1, max(1, depth)) if depth else F.array().cast("array<string>")}).where(F.col("host").isNotNull())
     labels = F.split("host", "[.]")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")))
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("segs")), lambda n: F.concat(F.lit("p:"), F.array_join(F.concat(F.array("host"), F.slice("segs", F.lit(1), n)), "/")))
+    lengths = lambda k, most: F.filter(F.array(*map(F.lit, sizes[k])), lambda n: n <= most) if k in sizes else F.array().cast("array<int>")
+    domains = F.transform(lengths("d", F.size(labels)), lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")))
+    prefixes = F.transform(lengths("p", F.size("segs")), lambda n: F.concat(F.lit("p:"), F.array_join(F.concat(F.array("host"), F.slice("segs", F.lit(1), n)), "/")))
     keyed = parts.select("url", "fetched_at", F.explode(F.concat(F.array(F.concat(F.lit("h:"), F.col("host"))), domains, prefixes)).alias("key"))
     hits = keyed.join(held.drop("depth"), "key").where((F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
     found = hits.groupBy("url", "fetched_at").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("list_name")), ",").alias("lists"), F.min("since").alias("since"))
