@@ -64,6 +64,13 @@ def flat(rows: DataFrame, tau: float, cap: int = CAP) -> DataFrame:
     return rows.where((F.col("p") >= tau) & (F.col("rank") <= cap))
 
 
+def flat_exclusive(rows: DataFrame, tau: float, cap: int = CAP) -> DataFrame:
+    """A fixed threshold and cap, then one record for each target."""
+    from .exclusive import by_confidence
+
+    return by_confidence(flat(rows, tau, cap).select("s1_id", "cand_id", "p"))
+
+
 def entity_scores(kept: DataFrame, truth: DataFrame, spine: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A1: per record of the spine (and grid point of ``keys``): tp, n_pred, n_true, precision, recall, f."""
     from .metrics import with_scores

@@ -72,6 +72,12 @@ def error_patterns(report: DataFrame, top: int = 10) -> DataFrame:
     return out
 
 
+def evaluate(pred: DataFrame, truth: DataFrame, spine: DataFrame, sources: list[str]) -> dict[str, DataFrame]:
+    """H7: every report of a prediction by name."""
+    report = entity_report(pred, truth, spine)
+    return {"overall": breakdown(report), "country": by_country(report), "source": by_source(pred, truth, spine, sources), "errors": error_patterns(report), "micro": micro(report)}
+
+
 def oracle_ceiling(candidates: DataFrame, truth: DataFrame, spine: DataFrame) -> DataFrame:
     """The breakdown of a perfect classifier on the candidates."""
     from .exclusive import intersect

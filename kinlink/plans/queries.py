@@ -852,3 +852,62 @@ def _(spark, prob, spine):
 @register("source_scores", PROB, "prob", RANKED + "\nSELECT s1_id, cand_id, round(p, 6) AS p FROM d WHERE rank <= 5")
 def _(spark, prob):
     return records.read_scores(spark, _written(spark, records.score_rows(prob, 5), "scores"), "csv")
+
+
+@register("decide_flat_exclusive", PROB, "prob", RANKED + "\nSELECT s1_id, cand_id, round(p, 6) AS p FROM d WHERE p >= 0.4 AND rank <= 6 QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY p DESC, s1_id) = 1")
+def _(spark, prob):
+    return decide.flat_exclusive(decide.ranked(prob), 0.4, 6)
+
+
+@register("expected_capped", PROB, "prob", RANKED + """,
+q AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM d WHERE rank <= 4),
+e AS (SELECT *, 1.25 * sum(q) OVER (PARTITION BY s1_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / (0.25 * sum(q) OVER (PARTITION BY s1_id) + rank) AS e, exp(sum(ln(1 - q)) OVER (PARTITION BY s1_id)) AS none FROM q),
+b AS (SELECT s1_id, max(e) AS best, arg_max(rank, e) AS k, max(none) AS none FROM e GROUP BY 1)
+SELECT s1_id, cand_id, rank::INT AS rank FROM e JOIN b USING (s1_id) WHERE NOT b.none >= best AND rank <= k""")
+def _(spark, prob):
+    return decide.expected(decide.ranked(prob), cap=4, strict=False).select("s1_id", "cand_id", "rank")
+
+
+@register("kept_or_submitted", PROB, "prob", RANKED + """
+SELECT s1_id, cand_id, country FROM d WHERE country IN ('ASIA', 'EUROPE') AND p >= 0.7 UNION ALL SELECT s1_id, cand_id, country FROM d WHERE country NOT IN ('ASIA', 'EUROPE') AND rank <= 2""")
+def _(spark, prob):
+    rows = decide.ranked(prob)
+    scored = rows.where(F.col("country").isin("ASIA", "EUROPE"))
+    return exclusive.kept_or_submitted(scored.where("p >= 0.7"), rows.where("rank <= 2"), scored)
+
+
+@register("resume_partitions", PROB, "prob", "\nSELECT s1_id, cand_id, country FROM prob WHERE country <> 'ASIA' UNION ALL SELECT s1_id, cand_id, country FROM prob WHERE country = 'ASIA' AND p >= 0.5")
+def _(spark, prob):
+    path = stage.fresh(spark, "parts")
+    rows = prob.select("s1_id", "cand_id", "country")
+    records.write_partition(rows, path)
+    records.write_partition(prob.where("country = 'ASIA' AND p >= 0.5").select(*rows.columns), path)
+    return spark.read.parquet(path).select("s1_id", "cand_id", "country")
+
+
+@register("cached_scores", PROB, "prob", "\nSELECT s1_id, cand_id, round(p, 6) AS p FROM prob WHERE p >= 0.5")
+def _(spark, prob):
+    path = stage.fresh(spark, "oof")
+    records.cached(spark, path, lambda: prob.where("p >= 0.5").select("s1_id", "cand_id", "p"))
+    return records.cached(spark, path, lambda: prob.select("s1_id", "cand_id", "p"))  # there already
+
+
+@register("tfidf_terms", BIZ, "pool", NORMAL.replace("a_ AS (SELECT entity_id, country, " + _name_sql("name") + " AS name, " + _address_sql("address") + " AS address FROM s1),\n", "") + f""",
+t AS ({_terms_sql("b_", "combo")})
+SELECT entity_id, count(*) AS n, count(*) FILTER (starts_with(term, 'n:')) AS names, count(*) FILTER (starts_with(term, 'd:')) AS digits FROM t GROUP BY 1""")
+def _(spark, pool):
+    rows = linkage.normalised(pool).select("entity_id", F.explode(text.field_terms(F.col("name"), F.col("address"))).alias("term"))
+    return rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.startswith("term", F.lit("n:"))).alias("names"), F.count_if(F.startswith("term", F.lit("d:"))).alias("digits"))
+
+
+@register("vocabulary", BIZ, "pool", NORMAL.replace("a_ AS (SELECT entity_id, country, " + _name_sql("name") + " AS name, " + _address_sql("address") + " AS address FROM s1),\n", "") + f""",
+t AS (SELECT entity_id, country, term, count(*) AS tf FROM ({_terms_sql("b_", "addr")}) GROUP BY ALL),
+v AS (SELECT country, term, count(*) AS df, sum(tf) AS cf FROM t GROUP BY ALL HAVING count(*) >= 2)
+SELECT country, term, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY country ORDER BY cf DESC, term) <= 50) JOIN (SELECT country, count(*) AS n FROM b_ GROUP BY 1) USING (country)""")
+def _(spark, pool):
+    return blocking.tfidf_weights(linkage.normalised(pool), "addr", features=50)[1]
+
+
+@register("all_pairs", BIZ, "s1 pool", "\nSELECT s1.entity_id AS s1_id, pool.entity_id AS cand_id FROM s1 CROSS JOIN pool WHERE s1.k < 20 AND pool.entity_id LIKE '%7'")
+def _(spark, s1, pool):
+    return blocking.all_pairs(s1.where("k < 20"), pool.where("entity_id LIKE '%7'"))
