@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,6 +70,15 @@ def test_chat_round_trip(spark):
     assert chat.digests(made.limit(0)).count() == 0 and chat.digests(made).count() == 3
 
 
+def test_long_conversation(spark):
+    """One conversation of 6,000 turns: offsets by a running sum, not by growing lists."""
+    rows = spark.range(6000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t<|"), "id").alias("text"), F.lit("clash").alias("at"))
+    made = chat.format_conversations(rows).first()
+    assert len(made.examples) == 3000
+    for e in made.examples[::500]:
+        assert made.formatted[e.loss_start : e.loss_end] == f"t<\\p{2 * e.example + 1}"
+
+
 # 3
 
 
@@ -412,6 +422,22 @@ def test_addressable(ids):
     assert [store[i] for i in range(0, len(ids), 7)] == ids[::7]
     for a, b in [(0, len(ids)), (len(ids) // 3, len(ids) // 2), (len(ids), len(ids))]:
         assert store.slice(a, b).tolist() == ids[a:b]
+    data = tokenstore.DirectlyAddressable.pack(np.array(ids, np.uint32))
+    assert [tokenstore.token_in(lambda a, n: data[a : a + n], i) for i in range(0, len(ids), 7)] == ids[::7]
+
+
+def test_one_token_reads_little(spark, data, tmp_path, monkeypatch):
+    """A token takes a few hundred bytes of its shard, the file's footer aside."""
+    path, read = f"file://{tmp_path}/store", []
+    tokenstore.write_store(table(spark, data, "documents"), queries.WORDS, 2, path)
+    shards = spark.read.parquet(path)
+    assert shards.count() > 2 and shards.agg(F.min(F.octet_length("data"))).first()[0] > 20_000
+    token_in = tokenstore.token_in
+    monkeypatch.setattr(tokenstore, "token_in", lambda f, i: token_in(lambda a, n: read.append(n) or f(a, n), i))
+    some = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in tokenstore.read_documents(spark, path).where("doc_id % 50 = 3").collect()}
+    for d, ids in some.items():
+        read.clear()
+        assert tokenstore.token_at(spark, path, d, len(ids) // 2) == ids[len(ids) // 2] and sum(read) < 1000
 
 
 def test_token_store(spark, tmp_path):
@@ -423,6 +449,10 @@ def test_token_store(spark, tmp_path):
         want = [*tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.start == start and r.n_tokens == len(want)
         start += len(want)
+    for d, i in [(0, 0), (len(ODD), 0), (len(ODD), 4567), (len(ODD) + 1, 3)]:
+        assert tokenstore.token_at(spark, path, d, i) == [*tok.encode(texts[d] or "", add_special_tokens=False).ids, 2][i]
+    with pytest.raises(IndexError):
+        tokenstore.token_at(spark, path, 0, 1)
     tokenstore.write_store(docs(spark, texts).limit(0), queries.WORDS, 2, path + "0")
     assert tokenstore.read_documents(spark, path + "0").count() == 0
 
@@ -437,6 +467,32 @@ def test_language(spark, data):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
 
 
+def brute_language(text, model):
+    """Language and score by compressing every chunk with each dictionary."""
+    if not text or not re.search(r"[^\W\d_]", text) or not model:
+        return "und", 0.0
+    data, sizes = text.encode(), []
+    for lang, content in sorted(model.items()):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append((sum(len(c.compress(data[a : a + langid.CHUNK_BYTES])) for a in range(0, len(data), langid.CHUNK_BYTES)), lang))
+    sizes.sort()
+    return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+
+
+def test_language_against_brute_force(spark, data):
+    rows = table(spark, data, "documents")
+    texts = {r.doc_id: r for r in rows.collect()}
+    model = langid.learn(rows.where(~langid.held_out(F.col("doc_id"))))
+    learned = collections.defaultdict(list)
+    for r in rows.withColumn("h", F.xxhash64("doc_id")).collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and re.search(r"[^\W\d_]", r.text or ""):
+            learned[r.lang].append((len(r.text.encode()) > langid.SAMPLE_BYTES, r.h, r.doc_id, r.text))
+    assert model == {k: "\n".join(x[3] for x in sorted(v)[: langid.SAMPLE_DOCS][::-1]).encode() for k, v in learned.items()}
+    for r in queries.op10_langid(spark, data).collect():
+        assert (r.lang_pred, round(r.score, 12)) == (lambda x: (x[0], round(x[1], 12)))(brute_language(texts[r.doc_id].text, model))
+
+
 def test_language_edges(spark):
     frame = docs(spark, [*ODD, LONG]).withColumn("score", F.lit("clash"))
     model = langid.learn(frame.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy")))
