@@ -13,8 +13,9 @@ bins.  So rows never gather: a group of any size is counts of a few hundred
 bins, combined before the shuffle.
 
 A source's moments are those of its subset with the mean moments of its
-language as PRIOR further rows, and a language's likewise with those of all
-texts: small groups lean on the larger one, and there is no least size.
+language as PRIOR further rows, a language's likewise with those of all texts,
+and those of all texts with the quartiles' spreads: small groups lean on the
+larger one, small tables on uncorrelated statistics, and there is no least size.
 Distances are scaled down, where need be, to the median of a chi-squared
 variable (the scale of a group leans on its language's in the same way).  A
 text is rejected above CUTOFF, about the 1 - 1e-11 quantile of that variable;
@@ -157,16 +158,16 @@ def _spread(rows: DataFrame, scale: float = SCALE) -> DataFrame:
     return out.withColumns({f"a{i}_{j}": F.col(f"q{i}_{j}") / (scale * scale) - F.col(f"c{i}") * F.col(f"c{j}") for i, j in LOWER})
 
 
-def _leaning(moments: DataFrame) -> DataFrame:
-    """Mean moments by (grp, parent, start) of sums: PRIOR rows of the parent's are added, from the top down."""
+def _leaning(moments: DataFrame, base: DataFrame) -> DataFrame:
+    """Mean moments by (grp, start) of sums: PRIOR rows of the parent's are
+    added, from the top down; those of all texts lean on ``base``."""
     rows = moments.withColumn("level", F.when(F.col("grp") == "[]", 0).when(F.col("parent") == "[]", 1).otherwise(2))
-    mean = lambda d: d.select("grp", "parent", "start", *((F.col(m) / F.col("n")).alias(m) for m in MOMENTS))
-    out = above = mean(rows.where("level = 0"))
-    for level in (1, 2):
+    out, above = None, base
+    for level in (0, 1, 2):
         held = above.select(F.col("grp").alias("parent"), "start", *(F.col(m).alias(f"_{m}") for m in MOMENTS))
         mine = rows.where(F.col("level") == level).join(held, ["parent", "start"])
-        above = mine.select("grp", "parent", "start", *(((F.col(m) + PRIOR * F.col(f"_{m}")) / (F.col("n") + PRIOR)).alias(m) for m in MOMENTS))
-        out = out.unionByName(above)
+        above = mine.select("grp", "start", *(((F.col(m) + PRIOR * F.col(f"_{m}")) / (F.col("n") + PRIOR)).alias(m) for m in MOMENTS))
+        out = above if out is None else out.unionByName(above)
     return out
 
 
@@ -185,9 +186,10 @@ def _concentrated(bins: DataFrame) -> DataFrame:
     return inner.groupBy("grp", "parent", "start").agg(F.sum("n").alias("n"), *(F.sum(m).alias(m) for m in MOMENTS))
 
 
-def _starts(fit: DataFrame) -> tuple[DataFrame, bool]:
+def _starts(fit: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """grp, start, par: medians with quartiles' spreads; all rows' moments; and
-    medians with the correlation of tanh of the standardised statistics.  And
+    medians with the correlation of tanh of the standardised statistics.  Then
+    the mean moments of the first for all texts (grp ''), for every start, and
     whether there are so few groups that their parameters can be broadcast."""
     quartiles = [F.percentile(k, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(k) for k in PARTS]
     held = materialised(fit.groupBy("grp").agg(*quartiles, *_sums()), "quality-starts")
@@ -204,7 +206,9 @@ def _starts(fit: DataFrame) -> tuple[DataFrame, bool]:
     three = tanh.join(held, "grp").select("grp", *(v.alias(k) for k, v in middle.items()), *((F.col(f"a{i}_{j}") / (sd(i) * sd(j)) * width(i) * width(j)).alias(f"a{i}_{j}") for i, j in LOWER))
     names = ["grp", *middle, *(f"a{i}_{j}" for i, j in LOWER)]
     parts = [d.select(*names, F.lit(s).alias("start")) for s, d in zip(STARTS, (one, two, three), strict=True)]
-    return _factored(reduce(DataFrame.unionByName, parts), ["grp", "start"]), few
+    sums = {f"s{i}": F.col(f"c{i}") * SCALE for i in range(P)} | {f"q{i}_{j}": (F.col(f"a{i}_{j}") + F.col(f"c{i}") * F.col(f"c{j}")) * (SCALE * SCALE) for i, j in LOWER}
+    every = one.where("grp = '[]'").select(F.lit("").alias("grp"), F.explode(F.array(*map(F.lit, STARTS))).alias("start"), *(v.alias(k) for k, v in sums.items()))
+    return _factored(reduce(DataFrame.unionByName, parts), ["grp", "start"]), every, few
 
 
 def estimate(rows: DataFrame) -> tuple[DataFrame, bool]:
@@ -214,10 +218,10 @@ def estimate(rows: DataFrame) -> tuple[DataFrame, bool]:
     level = lambda g, p: F.struct(g.alias("grp"), p.alias("parent"))
     levels = F.array(level(own, lang), level(lang, every), level(every, F.lit("")))
     fit = rows.where(~F.col("base_failed")).select(F.explode(levels).alias("g"), *PARTS).select("g.*", *PARTS)
-    params, few = _starts(fit)
+    params, base, few = _starts(fit)
     for _ in range(STEPS):
         moments = materialised(_concentrated(_binned(fit, params, few)), "quality-moments")
-        params = _factored(_spread(_leaning(moments)), ["grp", "start"])
+        params = _factored(_spread(_leaning(moments, base)), ["grp", "start"])
     best = params.groupBy("grp").agg(F.min_by(F.struct("start", "par"), F.struct("par.logdet", "start")).alias("b"))
     best = materialised(best.select("grp", "b.*"), "quality-params")
     half = _binned(fit, best, few).where(F.col("upto") >= F.col("total") / 2).groupBy("grp", "parent").agg(F.min("bin").alias("bin"), F.min("total").alias("n"))

@@ -156,11 +156,12 @@ def brute_distances(x, groups):
     def bins(par, rows):
         return np.floor(np.log(squared(par, rows) + 1e-9) * quality.BINS_PER_E)
 
-    params = {}
+    params, base = {}, None
     for g in every:
         z = y[at[g]]
         q = np.quantile(z, (0.25, 0.5, 0.75), axis=0)
         width = np.sqrt(np.maximum(((q[2] - q[0]) / 1.349) ** 2, quality.ROUNDING))
+        base = (q[1], np.diag(width**2) + np.outer(q[1], q[1])) if g == () else base
         pressed = np.cov(np.tanh((z - q[1]) / width).T, bias=True)
         sd = np.sqrt(np.maximum(np.diag(pressed), quality.ROUNDING))
         params[g] = [(q[1], inverse_factor(np.diag(width**2))), (z.mean(0), inverse_factor(np.cov(z.T, bias=True))), (q[1], inverse_factor(pressed / np.outer(sd, sd) * np.outer(width, width)))]
@@ -172,9 +173,8 @@ def brute_distances(x, groups):
                 cut = next(c for c in np.unique(b) if (b <= c).sum() >= np.ceil(len(b) * quality.SUBSET))
                 inner = y[at[g][b <= cut]]
                 m, c = inner.sum(0), inner.T @ inner
-                up = mean.get((g[:-1], s)) if g else None
-                n = len(inner) + (k if g else 0)
-                mean[g, s] = ((m + k * up[0]) / n, (c + k * up[1]) / n) if g else (m / n, c / n)
+                up, n = mean[g[:-1], s] if g else base, len(inner) + k
+                mean[g, s] = (m + k * up[0]) / n, (c + k * up[1]) / n
         params = {g: [(mean[g, s][0], inverse_factor(mean[g, s][1] - np.outer(mean[g, s][0], mean[g, s][0]))) for s in range(3)] for g in every}
     best = {g: min(enumerate(params[g]), key=lambda p: (round(-2 * np.log(np.diag(p[1][1])).sum(), 9), quality.STARTS[p[0]]))[1] for g in every}
     away = {}
@@ -209,6 +209,8 @@ def test_quality_edges(spark):
     counted = materialised(quality.with_counts(few), "few")
     got = quality.assess(counted).toPandas()
     assert list(got.columns) == [c for c in counted.columns if c != "kept"] + ["distance", "kept"]
+    few_kinds = [" ".join(f"{'Aa'[j % 9 > k]}{'bcdefgh'[: 2 + (j * k) % 5]}{'.' if j % (7 + k) == 0 else ''}" for j in range(60 + 40 * k)) for k in range(5)]
+    assert quality.documents_quality(docs(spark, few_kinds)).where("NOT base_failed AND NOT kept").count() == 0
     assert (got["grp"] == "clash").all() and (got["x0"] == "clash").all() and (got.kept == ~got.base_failed).all()
     none = quality.documents_quality(docs(spark, ODD)).toPandas()
     assert none.distance.isna().all() and not none.kept.any()
