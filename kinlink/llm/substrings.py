@@ -7,7 +7,7 @@ document with a smaller doc_id.  Strings are judged on the input.
 1. Every string of LENGTH bytes has an anchor: the least hash of the strings
    of GRAM bytes inside it.  Anchors that two documents have are found by a
    shuffle of anchors alone (``_shared``); nothing else can repeat.
-2. Documents, dealt by a hash of doc_id, cut out the segments between changes
+2. Documents, dealt by a hash of doc_id and text, cut out the segments between changes
    of such an anchor: equal strings of LENGTH bytes lie in segments of equal
    anchors.  Equal segments of a deal are sent once, with the least and
    greatest doc_id, to the shard of their anchor (``_segments``).
@@ -39,6 +39,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import utf8_bytes
 
@@ -103,22 +104,36 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(values)]])
 
 
+def _sorted_places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ascending order of ``key``, the key at each), for keys of ``bits`` bits.
+
+    Where a key and a place fit one word, words are sorted instead of places."""
+    width = len(key).bit_length()
+    if bits + width > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    words = np.sort((key << np.uint64(width)) | np.arange(len(key), dtype=np.uint64))
+    return (words & np.uint64((1 << width) - 1)).astype(np.int64), words >> np.uint64(width)
+
+
 def bounded_suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
     """Cyclic positions sorted by their next ``length`` symbols at least (symbols under 512)."""
     key, size = symbols.astype(np.uint64), 1
-    while size < 7 and size < length:
-        step = min(size, 7 - size)
-        key = (key << np.uint64(9 * step)) | (np.roll(key, -step) & np.uint64((1 << 9 * step) - 1)) if step < size else (key << np.uint64(9 * size)) | np.roll(key, -size)
-        size += step
-    order = np.argsort(key, kind="stable")
+    while size < 4 and size < length:
+        key = (key << np.uint64(9 * size)) | np.roll(key, -size)
+        size *= 2
+    order, ascending = _sorted_places(key, 9 * size)
+    width = len(key).bit_length()
     while size < length:
-        new = np.concatenate([[False], key[order[1:]] != key[order[:-1]]])
         rank = np.empty(len(key), np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[False], ascending[1:] != ascending[:-1]])).astype(np.uint64)
         if int(rank[order[-1]]) == len(key) - 1:
             return order
-        key = rank * np.uint64(len(key)) + np.roll(rank, -size)
-        order = np.argsort(key, kind="stable")
+        if 2 * width <= 64:
+            key = (rank << np.uint64(width)) | np.roll(rank, -size)
+        else:
+            key = rank * np.uint64(len(key)) + np.roll(rank, -size)
+        order, ascending = _sorted_places(key, 2 * width)
         size *= 2
     return order
 
@@ -312,7 +327,8 @@ def _answers(segments: DataFrame) -> DataFrame:
         keys, low, anchor = list(distinct), np.array(low, np.int64), np.array(anchor, np.uint64)
         answer: list[np.ndarray] = [None] * len(keys)  # type: ignore[list-item]
         order = np.argsort(anchor, kind="stable")
-        # The strings of an anchor's only segment are in no other segment.
+        # The strings of an anchor's only segment are in no other segment: their
+        # least document is the segment's, which the index would give as well.
         near = anchor[order][1:] == anchor[order][:-1]
         alone = ~np.concatenate([[False], near]) & ~np.concatenate([near, [False]])
         for i in order[alone].tolist():
@@ -365,10 +381,12 @@ def dedup(docs: DataFrame, text: str = "text", whole_characters: bool = False) -
     in part, so that what is left is UTF-8."""
     size = utf8_bytes(docs, text)
     count = lambda each: max(1, -(-size // each))
-    base = docs.drop("spans", "kept", "deal", "data")
-    rows = base.withColumns({"deal": F.pmod(F.xxhash64("doc_id"), F.lit(count(DEAL_BYTES))).cast("int"), "data": F.coalesce(F.col(text), F.lit("")).cast("binary")}).drop(text)
-    answers = _answers(_segments(rows, _shared(rows, count(BUCKET_BYTES)), count(SHARD_BYTES)))
+    base = docs.drop("spans", "kept")
     others = [f for f in base.schema.fields if f.name != text]
+    passed = F.struct(*(F.col(f"`{f.name}`") for f in others)) if others else F.lit(None).cast("struct<none:string>")
+    deal = F.pmod(F.xxhash64("doc_id", text), F.lit(count(DEAL_BYTES))).cast("int")
+    rows = base.select(passed.alias("passed"), F.col("doc_id").cast("long").alias("doc_id"), deal.alias("deal"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    answers = _answers(_segments(rows, _shared(rows, count(BUCKET_BYTES)), count(SHARD_BYTES)))
 
     def apply(group: pa.Table, found: pa.Table) -> pa.Table:
         cat = {c: joined(found.column(c), c not in ("v", "key")) for c in ("v", "key", "sizes", "widths", "docs")}
@@ -402,12 +420,13 @@ def dedup(docs: DataFrame, text: str = "text", whole_characters: bool = False) -
             left.append(data[at:])
             kept.append(b"".join(left))
             spans.append([{"start": s, "end": e} for s, e in mine])
-        out = group.select([f.name for f in others])
+        out = group.select(["passed"])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return out.append_column("spans", pa.array(spans, kind)).append_column("kept", pa.array(kept, pa.binary()))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "spans array<struct<start:bigint,end:bigint>>", "kept binary"])
-    return rows.groupBy("deal").cogroup(answers.groupBy("deal")).applyInArrow(apply, schema)
+    schema = T.StructType([rows.schema["passed"], T.StructField("spans", T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("start", "end")]))), T.StructField("kept", T.BinaryType())])
+    cut = rows.groupBy("deal").cogroup(answers.groupBy("deal")).applyInArrow(apply, schema)
+    return cut.select(*(F.col(f"passed.`{f.name}`").alias(f.name) for f in others), "spans", "kept")
 
 
 def digests(cut: DataFrame) -> DataFrame:
