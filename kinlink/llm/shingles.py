@@ -4,8 +4,8 @@ Two texts are linked where the Jaccard similarity of their sets of word
 shingles is at least SIMILAR, counted on the shingles themselves; linked texts
 form components.  Candidates come two ways:
 
-- links of the SimHash Gray-order index, which join most copies cheaply but
-  miss many pairs near the threshold;
+- links of the SimHash Gray-order index at simhash.MAX_BITS, which join close
+  copies cheaply but miss many pairs near the threshold;
 - a prefix filter, which misses none: in any fixed order of all shingles, two
   sets of similarity t share one of the first n - ceil(t n) + 1 of each.  The
   order puts the shingles that are frequent in a sample last, so the sample
@@ -32,15 +32,18 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import simhash
-from .common import materialised
+from .common import appended, materialised
 
 #: Least similarity as a fraction, bits of a sketch, the share of texts whose
 #: shingles are counted (one in SAMPLE), and the shingles that are put last.
 SIMILAR, SKETCH, SAMPLE, FREQUENT = (4, 5), 1024, 16, 200_000
+#: Sets of shingles that a comparison keeps at a time.
+HELD = 64
 
 
 def shingles(text: str | None, shingle: int) -> list[bytes]:
@@ -113,10 +116,10 @@ def with_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
                     digest = xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split()))
                     out.append((simhash._signed(fp), digest, len(distinct), np.packbits(parity.astype(np.uint8)).tobytes(), prefix(distinct, late, rank).view(np.int64)))
                 new = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), types.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *types])
+                yield appended(batch, dict(zip(types, new, strict=True)))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(run, ", ".join([*fields, "_fp long, _digest binary, _n long, _sketch binary, _prefix array<long>"]))
+    kinds = (T.LongType(), T.BinaryType(), T.LongType(), T.BinaryType(), T.ArrayType(T.LongType()))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(types, kinds, strict=True))]))
 
 
 def shared(keys: DataFrame) -> DataFrame:
@@ -140,33 +143,64 @@ def shared(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long, n long")
 
 
-def _may_be_similar(n: np.ndarray, sketch: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-    """False only where sets i and j can't be similar; j are no smaller than i."""
+#: Rows of a bucket above which the pairs inside its largest component are never made, and pairs at a time.
+LARGE, PAIRS = 256, 1 << 18
+
+
+def _may_be_similar(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """False only where the sets of rows i and j can't be similar."""
     num, den = SIMILAR
-    j = j[den * n[i] >= num * n[j]]
-    differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
-    return j[(den + num) * differ <= (den - num) * (n[i] + n[j])]
+    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    keep = den * low >= num * high
+    differ = np.bitwise_count(sketch[i[keep]] ^ sketch[j[keep]]).sum(1, dtype=np.int64)
+    keep[keep] = (den + num) * differ <= (den - num) * (low + high)[keep]
+    return keep
+
+
+def _bucket_pairs(ends: np.ndarray, root: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one bucket with different roots, i < j; ends: of
+    each row's bucket.  Not every: neighbours."""
+    rows, step = np.arange(len(ends)), 1
+    if every:
+        starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])) if len(ends) else rows
+        for a in starts[ends[starts] - starts > LARGE].tolist():
+            b = int(ends[a])
+            names, group = np.unique(root[a:b], return_inverse=True)
+            most = group == np.argmax(np.bincount(group))
+            if len(names) == 1:
+                continue
+            inner, others = a + np.flatnonzero(most), a + np.flatnonzero(~most)
+            for k, i in enumerate(others.tolist()):
+                later = others[k + 1 :]
+                j = np.concatenate([inner, later[root[later] != root[i]]])
+                for c in range(0, len(j), PAIRS):
+                    some = j[c : c + PAIRS]
+                    yield np.minimum(i, some), np.maximum(i, some)
+        rows = rows[ends - np.repeat(starts, np.diff(np.append(starts, len(ends)))) <= LARGE] if len(ends) else rows
+    while len(rows):
+        rows = rows[rows + step < ends[rows]]
+        for c in range(0, len(rows), PAIRS):
+            i = rows[c : c + PAIRS]
+            i = i[root[i] != root[i + step]]
+            if len(i):
+                yield i, i + step
+        step += 1
+        if not every:
+            break
 
 
 def candidates(met: DataFrame, every: bool) -> DataFrame:
     """Pairs (a, b) of ids in buckets of ``met`` (key, id, n, root, sketch)
     that have different roots and aren't excluded: neighbours by size, or every pair."""
 
-    def pairs(n: np.ndarray, id_: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        for i in range(len(n) - 1) if (root != root[0]).any() else ():
-            j = np.arange(i + 1, len(n) if every else i + 2)
-            j = _may_be_similar(n, sketch, i, j[root[j] != root[i]])
-            if len(j):
-                out.append(np.stack([np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])]))
-                size += len(j)
-            if out and (size > 1 << 16 or i == len(n) - 2):
-                a, b = np.concatenate(out, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                out, size = [], 0
-        if out:
-            a, b = np.concatenate(out, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def pairs(key: np.ndarray, n: np.ndarray, id_: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        ends = np.repeat(np.append(cuts, len(key)), np.diff(np.concatenate([[0], cuts, [len(key)]])))
+        for i, j in _bucket_pairs(ends, root, every):
+            keep = _may_be_similar(n, sketch, i, j)
+            if keep.any():
+                x, y = id_[i[keep]], id_[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -176,55 +210,79 @@ def candidates(met: DataFrame, every: bool) -> DataFrame:
             cols = [np.asarray(batch.column(c)) for c in ("key", "n", "id", "root")]
             cols.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cuts = np.flatnonzero(np.diff(cols[0])) + 1
-            edges = [0, *cuts.tolist()]
-            for a, b in zip(edges, edges[1:], strict=False):
-                yield from pairs(*(c[a:b] for c in cols[1:]))
-            held = [c[edges[-1] :] for c in cols]
+            whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
+            if whole:
+                yield from pairs(*(c[:whole] for c in cols))
+            held = [c[whole:] for c in cols]
         if held is not None:
-            yield from pairs(*held[1:])
+            yield from pairs(*held)
 
     dealt = met.repartition("key").sortWithinPartitions("key", "n", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Ids of rows up to which they are broadcast; beyond, the rows are shuffled.
+SMALL_IDS = 1_000_000
+
+
 def verified(pairs: DataFrame, rows: DataFrame, text: str, shingle: int) -> DataFrame:
     """The pairs (a, b) of _uid of ``rows`` whose texts are similar."""
     pairs = materialised(pairs, "shingle-pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, set[bytes]] = {}
+
+        def of(id_: int, t: str) -> set[bytes]:
+            if id_ not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[id_] = set(shingles(t, shingle))
+            return held[id_]
+
         for batch in batches:
-            texts = zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
-            keep = [similar(set(shingles(x, shingle)), set(shingles(y, shingle))) for x, y in texts]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True)
+            keep = [similar(of(a, x), of(b, y)) for a, b, x, y in rows]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = (rows.select(F.col("_uid").alias(k), F.col(text).alias(f"t{k}")) for k in "ab")
+    # Only texts that a pair has are dealt: by a semi-join that needs no shuffle, if the ids are few.
+    ids = materialised(pairs.select(F.explode(F.array("a", "b")).alias("_uid")).distinct(), "shingle-ids")
+    few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    asked = rows.select("_uid", text).join(F.broadcast(ids), "_uid", "left_semi") if few else rows.select("_uid", text)
+    one, two = (asked.select(F.col("_uid").alias(k), F.col(text).alias(f"t{k}")) for k in "ab")
     return materialised(pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"), "shingle-edges")
 
 
-def one_of_each(df: DataFrame, text: str, shingle: int, max_bits: int, agree: int) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component the row of
-    least doc_id stays, of equal ids one.  ``df`` is read twice; max_bits and
-    agree are those of the index."""
-    rows = materialised(with_shingles(df.withColumn("_uid", F.monotonically_increasing_id()), text, shingle), "shingle-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid", "_fp", "_n", "_sketch")).alias("at")
+def one_of_each(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row
+    of least doc_id stays, of equal ids one.  ``docs`` is read twice."""
+    df = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    others = [f"_row.`{c}`" for c in docs.columns if c != text]  # the text is written once
+    df = df.withColumns({"_row": F.struct(*map(F.col, others)) if others else F.struct(F.lit(None).alias("none")), "_uid": F.monotonically_increasing_id()})
+    rows = materialised(with_shingles(df, "_text", shingle), "shingle-rows")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_uid", "_fp", "_n", "_sketch")).alias("at")
     nodes = materialised(rows.groupBy("_digest").agg(first).select("at.*"), "shingle-nodes")
 
     fps = materialised(nodes.groupBy("_fp").agg(F.min("_uid").alias("own")), "shingle-fps")
     own = lambda k: fps.select(F.col("_fp").alias(k), F.col("own").alias(f"_{k}"))
-    index = simhash.links(fps.select(F.col("_fp").alias("fp")), max_bits, agree).distinct().join(own("a"), "a").join(own("b"), "b")
-    equal = nodes.select(F.col("_uid").alias("a"), F.lead("_uid").over(Window.partitionBy("_fp").orderBy("_uid")).alias("b")).where("b IS NOT NULL")
+    index = simhash.links(fps.select(F.col("_fp").alias("fp"))).distinct().join(own("a"), "a").join(own("b"), "b")
+    equal = nodes.join(fps, "_fp").where("_uid <> own").select(F.col("own").alias("a"), F.col("_uid").alias("b"))
     index = index.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).unionByName(equal)
 
     keys = rows.join(nodes.select("_uid"), "_uid", "left_semi").select(F.explode("_prefix").alias("key"), F.col("_uid").alias("id"), F.col("_n").alias("n"))
     met = materialised(shared(keys), "shingle-shared")
     sketches = nodes.select(F.col("_uid").alias("id"), F.col("_sketch").alias("sketch"))
     near = candidates(met.withColumn("root", F.col("id")).join(sketches, "id"), every=False)
-    sure = verified(near.unionByName(index).distinct(), rows, text, shingle)
+    sure = verified(near.unionByName(index).distinct(), rows, "_text", shingle)
 
     roots = materialised(simhash.components(sure), "shingle-roots")
     named = lambda d, k, r: d.join(r.withColumnRenamed("node", k), k, "left").withColumn("root", F.coalesce("root", k))
-    rest = verified(candidates(named(met, "id", roots).join(sketches, "id"), every=True), rows, text, shingle)
+    rest = verified(candidates(named(met, "id", roots).join(sketches, "id"), every=True), rows, "_text", shingle)
     roots = simhash.components(sure.unionByName(rest))
-    least = named(nodes.select("none", "doc_id", "_uid"), "_uid", roots).groupBy("root").agg(F.min(F.struct("none", "doc_id", "_uid")).alias("least"))
-    return rows.join(least.select(F.col("least._uid").alias("_uid")), "_uid", "left_semi").drop("_uid", "_fp", "_digest", "_n", "_sketch", "_prefix")
+    # A node without a link stays; of the others the least of each component, by a partial aggregation.
+    linked = materialised(nodes.select("none", "_id", "_uid").join(roots.withColumnRenamed("node", "_uid"), "_uid"), "shingle-linked")
+    least = linked.groupBy("root").agg(F.min(F.struct("none", "_id", "_uid")).alias("least")).select(F.col("least._uid").alias("_uid"))
+    copies = rows.select("_uid").join(nodes.select("_uid"), "_uid", "left_anti")
+    drop = materialised(copies.unionByName(linked.select("_uid").join(least, "_uid", "left_anti")), "shingle-drop")
+    few = drop.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    stay = rows.join(F.broadcast(drop) if few else drop, "_uid", "left_anti")
+    return stay.select(*(F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

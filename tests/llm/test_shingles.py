@@ -52,6 +52,21 @@ def test_stage_is_exact(spark, data, made):
 def test_filter_alone_is_exact(spark, made, monkeypatch):
     """Without the index's candidates and with an order by a full count."""
     monkeypatch.setattr(shingles, "SAMPLE", 1)
-    monkeypatch.setattr(shingles.simhash, "links", lambda fps, *_: fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    monkeypatch.setattr(shingles.simhash, "links", lambda fps: fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
     rows = spark.createDataFrame(made, "doc_id long, text string")
-    assert sorted(r.doc_id for r in shingles.one_of_each(rows, "text", cp.SHINGLE, cp.MAX_BITS, cp.AGREE).collect()) == brute_kept(made)
+    assert sorted(r.doc_id for r in shingles.one_of_each(rows, "doc_id", "text", cp.SHINGLE).collect()) == brute_kept(made)
+
+
+def test_bucket_pairs(monkeypatch):
+    """Every pair of different roots, in small and in large buckets; or neighbours."""
+    monkeypatch.setattr(shingles, "LARGE", 6)
+    monkeypatch.setattr(shingles, "PAIRS", 7)
+    r = np.random.default_rng(2)
+    sizes = [1, 2, 5, 6, 7, 30, 1, 12]
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    root = r.integers(0, 3, len(ends))
+    root[21:51] = np.where(np.arange(30) % 9 == 4, 1, 2)
+    pairs = lambda every: sorted((int(x), int(y)) for i, j in shingles._bucket_pairs(ends, root, every) for x, y in zip(i, j))
+    want = [(i, j) for i in range(len(ends)) for j in range(i + 1, int(ends[i])) if root[i] != root[j]]
+    assert pairs(True) == want and pairs(False) == [(i, j) for i, j in want if j == i + 1]
+    assert list(shingles._bucket_pairs(ends[:0], root[:0], True)) == []
