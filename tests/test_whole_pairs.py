@@ -1,8 +1,30 @@
 """Operators on pairs do the whole job on tables that used to be too large."""
 
 from kinlink.operators import blocking
+from kinlink.plans import linkage
 
 
 def test_all_pairs_of_more_than_a_million(spark):
     queries, pool = (spark.range(n).selectExpr("concat('e', id) AS entity_id") for n in (3, 400_000))
     assert blocking.all_pairs(queries, pool).count() == 1_200_000
+
+
+def test_link_shuffles_no_pairs(spark):
+    """Records that all share a rare address: their pairs stay in a task, and the right ones come out."""
+    n = 200
+    name = "concat('alpha', id, ' beta', id, ' gamma', id)"
+    s1 = spark.range(n).selectExpr("concat('S1-', id) AS entity_id", f"{name} AS name", "'7 lane' AS address", "'x' AS country")
+    pool = spark.range(n).selectExpr("concat('S2-', id) AS entity_id", f"concat({name}, ' ltd') AS name", "'7 lane' AS address", "'x' AS country")
+    links = linkage.simple_link(s1, pool)
+    assert {(r.s1_id, r.cand_id) for r in links.collect()} == {(f"S1-{k}", f"S2-{k}") for k in range(n)}
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapCoGroups")[0]  # nothing is joined to the pairs
+
+
+def test_long_records_are_compared_as_sets(spark):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    kinds = "entity_id string, name string, address string, country string"
+    s1 = spark.createDataFrame([("S1-1", words(0, 60), "", "x"), ("S1-2", "w1 w2", "", "x")], kinds)
+    pool = spark.createDataFrame([("S2-1", words(30, 90), "", "x"), ("S2-2", "w2 w3", "", "x")], kinds)
+    got = {(r.s1_id, r.cand_id): (r.nj, r.aj) for r in linkage.simple_candidates(s1, pool).collect()}
+    assert got == {("S1-1", "S2-1"): (30 / 90, 1.0), ("S1-1", "S2-2"): (2 / 60, 1.0), ("S1-2", "S2-2"): (1 / 3, 1.0)}
