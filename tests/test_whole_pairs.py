@@ -1,5 +1,7 @@
 """Operators on pairs do the whole job on tables that used to be too large."""
 
+from pyspark.sql import functions as F
+
 from kinlink.operators import blocking
 from kinlink.plans import linkage
 
@@ -28,3 +30,12 @@ def test_long_records_are_compared_as_sets(spark):
     pool = spark.createDataFrame([("S2-1", words(30, 90), "", "x"), ("S2-2", "w2 w3", "", "x")], kinds)
     got = {(r.s1_id, r.cand_id): (r.nj, r.aj) for r in linkage.simple_candidates(s1, pool).collect()}
     assert got == {("S1-1", "S2-1"): (30 / 90, 1.0), ("S1-1", "S2-2"): (2 / 60, 1.0), ("S1-2", "S2-2"): (1 / 3, 1.0)}
+
+
+def test_best_of_blocks_are_those_of_all_pairs(spark):
+    rows = ["concat('word', id % 7, ' name', id % 5, ' word', id % 3) AS name", "concat(id % 4, '00 street ', 10000 + id % 6) AS address", "if(id % 2 = 0, 'x', 'y') AS country"]
+    s1 = spark.range(40).selectExpr("concat('S1-', id) AS entity_id", *rows)
+    pool = spark.range(90).selectExpr("concat('S2-', id) AS entity_id", *rows)
+    summed = blocking.channel_pairs(s1, pool).groupBy("s1_id", "cand_id").agg(F.sum("score").alias("score"))
+    want = {tuple(r) for r in blocking.ranked(summed, 4).select("s1_id", "cand_id", "score", "rank").collect()}
+    assert {tuple(r) for r in blocking.multi_channel(s1, pool, 4, query_block=7, pool_block=11).collect()} == want and len(want) == 160
