@@ -39,3 +39,15 @@ def test_best_of_blocks_are_those_of_all_pairs(spark):
     summed = blocking.channel_pairs(s1, pool).groupBy("s1_id", "cand_id").agg(F.sum("score").alias("score"))
     want = {tuple(r) for r in blocking.ranked(summed, 4).select("s1_id", "cand_id", "score", "rank").collect()}
     assert {tuple(r) for r in blocking.multi_channel(s1, pool, 4, query_block=7, pool_block=11).collect()} == want and len(want) == 160
+
+
+def test_reach_is_that_of_all_pairs(spark):
+    name = "concat('common word', id % 7, ' name', id % 5, if(id % 9 = 0, ' rare', ''))"
+    s1 = spark.range(70).selectExpr("concat('S1-', id) AS entity_id", f"if(id = 3, 'alone', {name}) AS name", "concat(id, ' lane') AS address", "if(id % 2 = 0, 'x', 'y') AS country")
+    pool = spark.range(300).selectExpr("concat('S2-', id) AS entity_id", f"if(id % 3 = 0, concat('other', id), {name}) AS name", "concat(id, if(id % 4 = 0, ' lane', '')) AS address", "if(id % 2 = 0, 'x', 'y') AS country")
+    check = F.crc32(F.col("cand_id").cast("binary"))
+    pairs = blocking.country_tokens(s1, pool, hot=50).groupBy("s1_id").agg(F.count(F.lit(1)), F.min("cand_id"), F.max("cand_id"), F.sum(check))
+    want = {tuple(r) for r in pairs.collect()}
+    for blocks in ({}, {"query_block": 9, "pool_block": 70}):
+        assert {tuple(r) for r in blocking.country_reach(s1, pool, check, **blocks).collect()} == want
+    assert len(want) >= 69
