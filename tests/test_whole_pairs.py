@@ -51,3 +51,16 @@ def test_reach_is_that_of_all_pairs(spark):
     for blocks in ({}, {"query_block": 9, "pool_block": 70}):
         assert {tuple(r) for r in blocking.country_reach(s1, pool, check, **blocks).collect()} == want
     assert len(want) >= 69
+
+
+def test_equal_records_are_one_class(spark):
+    """Equal texts, more of them than candidates are wanted: one row of each class meets the pool."""
+    s1 = spark.range(60).selectExpr("concat('S1-', id) AS entity_id", "'x' AS country", "concat('name', id % 3, ' common') AS name", "concat(id % 2, '00 lane') AS address")
+    pool = s1.selectExpr("replace(entity_id, 'S1', 'S2') AS entity_id", "country", "name", "address")
+    rows = blocking.tfidf_weights(s1, "combo")[0]
+    assert rows.select("class").distinct().count() == 6 and rows.select("terms", "weights").distinct().count() == 6
+    got = {}
+    for r in blocking.tfidf_pairs(s1, pool, "combo", 4, query_block=2, pool_block=5).collect():
+        got.setdefault(r.s1_id, []).append((r.rank, r.cand_id))
+    same = {k: sorted(f"S2-{j}" for j in range(60) if j % 6 == k) for k in range(6)}
+    assert all([c for _, c in sorted(got[f"S1-{i}"])] == same[i % 6][:4] for i in range(60))
