@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinlink.operators import blocking
 from kinlink.plans import linkage
+from kinlink.plans.queries import QUERIES
 
 
 def test_all_pairs_of_more_than_a_million(spark):
@@ -64,3 +65,9 @@ def test_equal_records_are_one_class(spark):
         got.setdefault(r.s1_id, []).append((r.rank, r.cand_id))
     same = {k: sorted(f"S2-{j}" for j in range(60) if j % 6 == k) for k in range(6)}
     assert all([c for _, c in sorted(got[f"S1-{i}"])] == same[i % 6][:4] for i in range(60))
+
+
+def test_link_metrics_rank_no_pairs(spark, data):
+    report = QUERIES["link_metrics"](spark, data)
+    assert "Window" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert report.first().n == spark.read.parquet(f"{data}/customer.parquet").count()
