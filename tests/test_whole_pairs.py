@@ -1,10 +1,13 @@
 """Operators on pairs do the whole job on tables that used to be too large."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-from kinlink.operators import blocking
+from kinlink.operators import blocking, blocks
 from kinlink.plans import linkage
 from kinlink.plans.queries import QUERIES
+from kinlink.sources import stage
 
 
 def test_all_pairs_of_more_than_a_million(spark):
@@ -71,3 +74,24 @@ def test_link_metrics_rank_no_pairs(spark, data):
     report = QUERIES["link_metrics"](spark, data)
     assert "Window" not in report._jdf.queryExecution().optimizedPlan().toString()
     assert report.first().n == spark.read.parquet(f"{data}/customer.parquet").count()
+
+
+def test_staged_tables_leave_no_shuffles(spark, tmp_path):
+    """The shuffles that made a staged table are deleted with its execution, not when the driver collects garbage."""
+    def files():
+        return {f.name for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+
+    before = files()
+    table = stage.staged(spark.range(5000).groupBy((F.col("id") % 977).alias("k")).count(), "counts")
+    assert not files() - before
+    assert table.count() == 977
+
+
+def test_words_joined_by_blanks_are_lists():
+    """Records of a block are sent as strings; an empty one is no word."""
+    import pyarrow as pa
+
+    lists = [["a", "b"], [], ["b"]], [[], ["c", "a"]]
+    as_lists = blocks._lists([pa.table({"t": pa.array(x, pa.list_(pa.string()))}) for x in lists], "t")
+    as_words = blocks._lists([pa.table({"t": [" ".join(w) for w in x]}) for x in lists], "t")
+    assert [[y.tolist() for y in x] for x in as_lists[:2]] == [[y.tolist() for y in x] for x in as_words[:2]] and as_words[2] == 3
