@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinlink.operators import blocking, blocks
@@ -95,3 +96,19 @@ def test_words_joined_by_blanks_are_lists():
     as_lists = blocks._lists([pa.table({"t": pa.array(x, pa.list_(pa.string()))}) for x in lists], "t")
     as_words = blocks._lists([pa.table({"t": [" ".join(w) for w in x]}) for x in lists], "t")
     assert [[y.tolist() for y in x] for x in as_lists[:2]] == [[y.tolist() for y in x] for x in as_words[:2]] and as_words[2] == 3
+
+
+def test_channel_ranks_shuffle_no_pairs(spark):
+    """Ranks of all pairs, with ties across blocks of the pool, as by a window over the pairs; none is ranked or grouped."""
+    rows = ["concat('word', id % 7, ' name', id % 5, ' word', id % 3) AS name", "concat(id % 4, '00 street ', 10000 + id % 6) AS address", "if(id % 2 = 0, 'x', 'y') AS country"]
+    s1 = spark.range(40).selectExpr("concat('S1-', id) AS entity_id", *rows)
+    pool = spark.range(90).selectExpr("concat('S2-', id) AS entity_id", *rows)
+    order = Window.partitionBy("s1_id", "channel").orderBy(F.desc("score"), "cand_id")
+    ranked = blocking.channel_pairs(s1, pool).withColumn("r", F.row_number().over(order) - 1)
+    ranked = ranked.groupBy("s1_id", "cand_id").pivot("channel", ["name_tokens", "addr_tokens", "street_number", "postal"]).agg(F.min("r"))
+    want = {tuple(r) for r in ranked.collect()}
+    for size in ({}, {"query_block": 7, "pool_block": 11}):
+        got = blocking.channel_ranks(s1, pool, **size)
+        assert got.dtypes == ranked.dtypes and {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 1000
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert not any(x in plan for x in ("Aggregate", "Window", "Join"))  # nothing is done to the pairs
