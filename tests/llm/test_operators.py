@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinlink.llm import audio, bpe, chat, langid, packing, quality, queries, simhash, substrings, tokenstore, urlfilter
+from kinlink.llm import audio, bpe, chat, common, langid, packing, quality, queries, simhash, substrings, tokenstore, urlfilter
 from kinlink.llm.common import materialised, quiet_tokenizer
 
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -502,3 +502,12 @@ def test_language_edges(spark):
     assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and got[1].rejected
     assert langid.predict(frame.limit(0), model).count() == 0
     assert langid.predict(frame, {}).where("lang_pred <> 'und'").count() == 0
+
+
+def test_written_tables_leave_no_garbage(spark, monkeypatch):
+    """A heap above its share is collected when a table is written, not when it has grown to its limit."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)
+    before = collections()
+    assert common.materialised(spark.range(3), "few").count() == 3 and collections() > before
