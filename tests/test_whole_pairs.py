@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinlink.operators import blocking, blocks
+from kinlink.operators import blocking, blocks, model
 from kinlink.plans import linkage
 from kinlink.plans.queries import QUERIES
 from kinlink.sources import stage
@@ -112,3 +112,19 @@ def test_channel_ranks_shuffle_no_pairs(spark):
         assert got.dtypes == ranked.dtypes and {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 1000
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
     assert not any(x in plan for x in ("Aggregate", "Window", "Join"))  # nothing is done to the pairs
+
+
+def test_texts_of_candidates_shuffle_no_pairs(spark):
+    """Pairs with their texts and labels as by joins; the texts meet the lists of candidates in a task."""
+    rows = ["concat('name', id % 11) AS name", "if(id % 6 = 0, NULL, concat(id, ' lane')) AS address", "if(id % 2 = 0, 'x', 'y') AS country"]
+    s1 = spark.range(30).selectExpr("concat('S1-', id) AS entity_id", *rows)
+    pool = spark.range(80).selectExpr("concat('S2-', id) AS entity_id", *rows)
+    pairs = s1.select(F.col("entity_id").alias("s1_id"), "country").join(pool.select(F.col("entity_id").alias("cand_id"), "country"), "country").where("crc32(concat(s1_id, cand_id)) % 5 < 2").drop("country")
+    truth = pairs.where("crc32(cand_id) % 3 = 0").unionByName(pairs.limit(3))
+    names = ["s1_id", "cand_id", "name1", "addr1", "name2", "addr2", "label"]
+    want = {tuple(r) for r in model.labelled(linkage.pair_texts(pairs, s1, pool), truth).select(*names).collect()}
+    for size in ({}, {"query_block": 4, "pool_block": 9}):
+        got = linkage.labelled_texts(pairs, truth, s1, pool, **size).select(*names)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 400
+    assert len({r[-1] for r in want}) == 2
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
